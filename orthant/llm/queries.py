@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, decontaminate
 
-_MODULES = (byte_bpe,)
+_MODULES = (byte_bpe, decontaminate)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
