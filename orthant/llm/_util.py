@@ -73,3 +73,16 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 def lower_ascii(column):
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of an ASCII string, as DuckDB SQL: a byte at a time, eight shifts each."""
+    shift = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    step = f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, i: {shift})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::UBIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, b: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def held_out(key):
+    """Whether crc32 of the key as text is divisible by 5; labels of such rows are never learnt from."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate
+from . import byte_bpe, decontaminate, quality_rules
 
-_MODULES = (byte_bpe, decontaminate)
+_MODULES = (quality_rules, decontaminate, byte_bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
