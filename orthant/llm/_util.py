@@ -86,3 +86,16 @@ def crc32_sql(text: str) -> str:
 def held_out(key):
     """Whether crc32 of the key as text is divisible by 5; labels of such rows are never learnt from."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int, key: str = "doc_id", text: str = "text"):
+    """Texts and labels (pandas: key, text, y) of about `limit` labelled rows at most, by a hash of the key; none held out.
+
+    Of a key's several labels the largest counts; null labels and keys, and texts of over `longest` characters, are not learnt from.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("y"))
+    total = known.count()
+    slots = 1 << 30
+    chosen = lambda k: F.pmod(F.xxhash64(k.cast("string")), F.lit(slots)) < int(slots * min(1.0, limit / max(1, total)))
+    texts = docs.where(chosen(F.col(key)) & (F.coalesce(F.length(text), F.lit(0)) <= longest)).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return texts.join(known.where(chosen(F.col("_key"))), "_key").toPandas().sort_values(["_key", "text"]).reset_index(drop=True)
