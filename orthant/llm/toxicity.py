@@ -236,18 +236,30 @@ def learn_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> tuple[lis
         for k in beginnings(t) & wanted:
             cover.setdefault(k, set()).add(i)
     cover = {k: s for k, s in cover.items() if len(s) >= 12 * against[k]}
+    support = {k: len(x) for k, x in cover.items()}
     chosen, weights = [], []
+
+    def choose(term: str) -> None:
+        chosen.append((term.rstrip("$"), not term.endswith("$")))
+        weights.append(float(np.log((support[term] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (against[term] + 0.5))))
+
     while cover and len(chosen) < most:
         best = max(cover, key=lambda k: (len(cover[k]) - 3 * against[k], len(k), k))
         if len(cover[best]) < least:
             break
-        n, covered = len(cover[best]), cover.pop(best)
-        chosen.append((best.rstrip("$"), not best.endswith("$")))
-        weights.append(float(np.log((n + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (against[best] + 0.5))))
+        covered = cover.pop(best)
+        choose(best)
         for k in list(cover):
             cover[k] -= covered
             if len(cover[k]) < least:
                 del cover[k]
+    # terms that stand beside others in the sample, but may stand alone elsewhere
+    for term in sorted(support, key=lambda k: (-support[k], -len(k), k)):
+        if support[term] < max(least, 0.02 * len(toxic)) or len(chosen) >= most:
+            break
+        bare = term.rstrip("$")
+        if support[term] >= 50 * against[term] and not any(bare.startswith(t) or t.startswith(bare) for t, _ in chosen):
+            choose(term)
     return chosen, [max(0.5, w) for w in weights]
 
 
