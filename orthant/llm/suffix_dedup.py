@@ -243,7 +243,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "at", "window"])
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "_text"):
         kept, sizes, spans = [], [], []
         for text, ranges in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist()):
@@ -257,17 +257,24 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             for a, b in merged:
                 parts.append(text[at:a])
                 at = b
-            kept.append(b"".join([*parts, text[at:]]))
+            left = b"".join([*parts, text[at:]])
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             sizes.append(len(text))
             spans.append([{"first": a, "last": b - 1} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_x"), pa.array(sizes, pa.int64()), pa.array(spans, _RANGES), pa.array(kept, pa.binary())], ["_k", "_x", "n_bytes", "spans", "kept"])
+        names = [n for n in batch.schema.names if n not in ("_text", "ranges")]
+        rest = [batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(spans, _RANGES), pa.array(kept, pa.string() if as_text else pa.binary()), *rest], ["n_bytes", "spans", "kept", *names])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """key, n_bytes, spans (removed bytes, both ends in) and kept (binary) for each row; `length` is at least `gram`, a power of two."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """key, n_bytes, spans (removed bytes, both ends in), kept and the columns `keep` for each row.
+
+    `length` is at least `gram`, a power of two. kept is binary; with as_text it is a string, without the bytes of
+    characters that a cut has split.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"))
-    found = rows.mapInArrow(lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int")
+    rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_rest"))
+    found = rows.select("_k", "_x", "_text").mapInArrow(lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int")
     found = checkpoint(found)
     counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "start", "windows")).alias("one"))
     counted = checkpoint(counted)
@@ -281,7 +288,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def bodies(which: DataFrame) -> DataFrame:
         lists = which.groupBy("_k", "_x").agg(F.collect_list("want").alias("wanted"))  # as long as the text at most
-        joined = rows.join(lists, same(rows, lists)).select("_text", "wanted")
+        joined = rows.join(lists, same(rows, lists)).select("_text", "wanted", "_rest")  # the same columns as below, so both joins read one exchange
         return joined.mapInArrow(lambda it: _cut_contexts(it, length), "anchor bigint, context bigint, body binary")
 
     cold = bodies(wanted.where(F.col("contexts") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "context")
@@ -296,8 +303,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         every = every.unionByName(more)
     placed = found.join(every, ["anchor", "context"]).select("_k", "_x", F.transform("ranges", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last"))).alias("ranges"))
     per_text = placed.groupBy("_k", "_x").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    cut = rows.join(per_text, same(rows, per_text), "left").select(rows["_k"], rows["_x"], "_text", "ranges")
-    return cut.mapInArrow(lambda it: _cut_texts(it, length), f"_k {kind}, _x bigint, n_bytes bigint, spans {_RANGES_SQL}, kept binary").select(F.col("_k").alias(key), "n_bytes", "spans", "kept")
+    cut = rows.join(per_text, same(rows, per_text), "left").select("_text", "ranges", rows["_k"], "_rest")
+    kept = "string" if as_text else "binary"
+    rest = rows.schema["_rest"].dataType.simpleString()
+    done = cut.mapInArrow(lambda it: _cut_texts(it, length, as_text), f"n_bytes bigint, spans {_RANGES_SQL}, kept {kept}, _k {kind}, _rest {rest}")
+    return done.select(F.col("_k").alias(key), "n_bytes", "spans", "kept", *(F.col("_rest")[c].alias(c) for c in keep))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
