@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python task holds at once, in bytes; whole documents, one at least.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,3 +99,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     chosen = lambda k: F.pmod(F.xxhash64(k.cast("string")), F.lit(slots)) < int(slots * min(1.0, limit / max(1, total)))
     texts = docs.where(chosen(F.col(key)) & (F.coalesce(F.length(text), F.lit(0)) <= longest)).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.join(known.where(chosen(F.col("_key"))), "_key").toPandas().sort_values(["_key", "text"]).reset_index(drop=True)
+
+
+def portions(items: list, limit: int = 1 << 20) -> Iterator[list]:
+    """The items in order, in lists whose lengths come to about `limit`; a longer item is alone."""
+    part, size = [], 0
+    for item in items:
+        if part and size + len(item) > limit:
+            yield part
+            part, size = [], 0
+        part.append(item)
+        size += len(item)
+    if part:
+        yield part

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import held_out, table, text_chunks, training_sample
+from ._util import held_out, portions, table, text_chunks, training_sample
 from .ngram_join import _LOWER, _ODD, _SPACE, mix
 
 PASSAGE = 48
-SAMPLE, LONGEST = 8000, 100_000
+SAMPLE, LONGEST = 5000, 100_000
 HIDDEN, ATTENTION, EPOCHS = 16, 8, 120
 THRESHOLD = 0.3
 
@@ -154,7 +154,10 @@ class AttentionModel:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, longest: int = LONGEST) -> AttentionModel:
     rows = training_sample(docs, labels, label, sample, longest, key, text)
-    return AttentionModel().fit(*passages([t.encode("utf-8", "surrogatepass") for t in rows["text"]]), rows["y"].to_numpy(float))
+    bags = [passages([t.encode("utf-8", "surrogatepass") for t in part]) for part in portions(rows["text"].tolist())]
+    if not bags:
+        return AttentionModel().fit(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0))
+    return AttentionModel().fit(np.concatenate([x for x, _ in bags]), np.concatenate([n for _, n in bags]), rows["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: AttentionModel, text: str = "text", name: str = "score") -> DataFrame:
