@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import held_out, table, text_chunks, training_sample, worker_cache
+from ._util import held_out, portions, table, text_chunks, training_sample, worker_cache
 
-SAMPLE, LONGEST = 8000, 100_000
+SAMPLE, LONGEST = 5000, 100_000
 TERMS = 120
 WINDOW = 6
 _OPEN, _CLOSE = "\"“„«‹‘", "\"”“»›’"
@@ -195,7 +195,7 @@ class ToxicityModel:
         return x
 
     def fit(self, texts: list[str], y: np.ndarray, ridge: float = 0.3) -> ToxicityModel:
-        x = self.features(texts)
+        x = np.concatenate([np.zeros((0, len(PRIOR))), *(self.features(part) for part in portions(texts))])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
             grad = x.T @ (p - y) + ridge * (self.w - PRIOR)
@@ -269,10 +269,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     terms, weights = learn_terms(texts, y)
     loose = ToxicityModel(terms, weights, set(), set())
     struck: dict[int, set[str]] = {}
-    for hits in loose.hits([t for t, k in zip(texts, y) if not k])[0]:
-        for _, term, cost, _, _, spelling in hits:
-            if cost:
-                struck.setdefault(term, set()).add(spelling)
+    for part in portions([t for t, k in zip(texts, y) if not k]):
+        for hits in loose.hits(part)[0]:
+            for _, term, cost, _, _, spelling in hits:
+                if cost:
+                    struck.setdefault(term, set()).add(spelling)
     spellings = {s for x in struck.values() for s in x}
     return ToxicityModel(terms, weights, spellings, {t for t, x in struck.items() if len(x) >= 3}).fit(texts, y)
 
