@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import table, text_chunks
+from ._util import checkpoint, table, text_chunks
 from .byte_bpe import PATTERN, _codec, default_ranks_path
 
 SPAN = 512
@@ -40,7 +40,8 @@ def encoded_lengths(docs: DataFrame, text: str = "text", ranks_path: str | None
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens", span: int = SPAN) -> DataFrame:
     """For each length: n_docs, docs_at_most and tokens_at_most (prefix sums), docs_over and tokens_over (suffix sums), truncated_total (all texts cut at the length), share_at_most."""
-    counted = lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {span}"))
+    # read twice below; a row for each length, so writing it is cheaper than encoding again
+    counted = checkpoint(lengths.groupBy(F.col(column).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))).withColumn("block", F.expr(f"n_tokens div {span}"))
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     over = Window.orderBy("block")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
