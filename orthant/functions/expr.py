@@ -137,7 +137,8 @@ def _finished(values: Column, kind: Kind) -> Column:
     """Doubles as elements of the kind; what doesn't fit is an overflow."""
     rounded = F.transform(values, lambda x: half_round(x) if kind is HALF else x.cast("float").cast("double"))
     limit = F.lit(HALF_MAX) if kind is HALF else F.lit(3.4028234663852886e38)
-    return F.when(F.exists(rounded, lambda x: F.isnan(x) | (F.abs(x) > limit)), _out_of_range("array<float>", "overflow")).otherwise(rounded.cast("array<float>"))
+    checked = lambda r: F.when(F.exists(r, lambda x: F.isnan(x) | (F.abs(x) > limit)), _out_of_range("array<float>", "overflow")).otherwise(r.cast("array<float>"))
+    return _bound(rounded, checked)
 
 
 def l2_normalize(v, kind: Kind = VECTOR) -> Column:
@@ -262,14 +263,13 @@ def bit_to_text(v) -> Column:
 
 def _whole(a: Column, kind: Kind) -> Column:
     """An array of numbers as floats of the kind, or an error."""
-    null = F.exists(a, lambda x: x.isNull())
-    floats = F.transform(a, lambda x: x.cast("double").cast("float"))
-    return (
-        F.when(null, fail("array must not contain nulls", as_type="array<float>"))
+    checked = lambda floats: (
+        F.when(F.exists(floats, lambda x: x.isNull()), fail("array must not contain nulls", as_type="array<float>"))
         .when(F.exists(floats, lambda x: F.isnan(x)), fail(f"NaN not allowed in {kind.name}", as_type="array<float>"))
         .when(F.exists(floats, lambda x: F.abs(x) == float("inf")), fail(f"infinite value not allowed in {kind.name}", as_type="array<float>"))
         .otherwise(floats)
     )
+    return _bound(F.transform(a, lambda x: x.cast("double").cast("float")), checked)
 
 
 def array_to_vector(a, dim: int | None = None) -> Column:
@@ -285,9 +285,12 @@ def _cut(v: Column, dim: int, kind: Kind) -> Column:
 
 
 def _halved(v: Column) -> Column:
-    rounded = F.transform(v, half_round)
-    large = F.filter(v, lambda x: F.abs(half_round(x)) > HALF_MAX)
-    return F.when(F.size(large) > 0, fail('"', F.regexp_replace(F.get(large, F.lit(0)).cast("string"), r"\.0$", ""), '" is out of range for type halfvec', as_type="array<float>")).otherwise(rounded.cast("array<float>"))
+    def checked(w: Column) -> Column:
+        large = F.filter(w, lambda x: F.abs(half_round(x)) > HALF_MAX)
+        wrong = fail('"', F.regexp_replace(F.get(large, F.lit(0)).cast("string"), r"\.0$", ""), '" is out of range for type halfvec', as_type="array<float>")
+        return F.when(F.size(large) > 0, wrong).otherwise(F.transform(w, half_round).cast("array<float>"))
+
+    return _bound(v, checked)
 
 
 def array_to_halfvec(a, dim: int | None = None) -> Column:
@@ -331,7 +334,8 @@ def sparsevec_to_vector(v, dim: int | None = None, kind: Kind = VECTOR) -> Colum
     v = column(v)
     # from one index to the next: the gap's zeros, then the value
     before = F.concat(F.array(F.lit(0)), v["indices"])
-    pieces = F.transform(v["indices"], lambda i, k: F.concat(F.array_repeat(F.lit(0.0).cast("float"), i - F.get(before, k) - 1), F.array(F.get(v["values"], k))))
+    gaps = F.zip_with(v["indices"], F.slice(before, 1, F.size(v["indices"])), lambda i, p: i - p - 1)
+    pieces = F.zip_with(gaps, v["values"], lambda n, x: F.concat(F.array_repeat(F.lit(0.0).cast("float"), n), F.array(x)))
     rest = v["dim"] - F.element_at(before, -1)
     dense = F.concat(F.flatten(pieces), F.array_repeat(F.lit(0.0).cast("float"), rest))
     too_long = F.when(v["dim"] > kind.max_dim, fail(f"{kind.name} cannot have more than {kind.max_dim} dimensions", as_type="array<float>")).when(v.isNotNull(), dense)

@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 
 from ..functions import expr
-from ..functions.kinds import BIT, SPARSE, VECTOR, Kind, VectorError
+from ..functions.kinds import BIT, SPARSE, Kind, VectorError
 
 
 class DenseBatch:
+    form = "dense"  # classes travel by value, so copies of them differ; forms do not
+
     def __init__(self, values: np.ndarray):
         self.values = values
 
@@ -34,6 +36,8 @@ class DenseBatch:
 
 
 class SparseBatch:
+    form = "sparse"
+
     def __init__(self, dim: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.dim, self.rows = dim, rows
 
@@ -51,6 +55,8 @@ class SparseBatch:
 
 
 class BitBatch:
+    form = "bit"
+
     def __init__(self, nbits: np.ndarray, words: np.ndarray):
         self.nbits, self.words = nbits, words
 
@@ -115,7 +121,7 @@ def _aligned(x: SparseBatch, y: SparseBatch) -> tuple[list[np.ndarray], list[np.
 
 
 def _pairs(x, y, f) -> np.ndarray:
-    if isinstance(x, SparseBatch):
+    if x.form == "sparse":
         return np.array([_fold(f(a, b)[None, :])[0] for a, b in zip(*_aligned(x, y))])
     return _fold(f(x.values, y.values))
 
@@ -128,7 +134,7 @@ def _dense_of(x: SparseBatch, columns: np.ndarray) -> np.ndarray:
 
 
 def _matrices(q, x) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(q, SparseBatch):
+    if q.form == "sparse":
         every = [i for i, _ in q.rows] + [i for i, _ in x.rows]
         columns = np.unique(np.concatenate(every)) if every else np.empty(0, np.int64)
         return _dense_of(q, columns), _dense_of(x, columns)
@@ -158,7 +164,7 @@ def _near_l1(q, x) -> np.ndarray:
 
 def _exact_cosine(q, x) -> np.ndarray:
     dot = _pairs(q, x, lambda a, b: a * b)
-    if isinstance(q, SparseBatch):
+    if q.form == "sparse":
         norm = lambda s: np.array([_fold((v * v)[None, :])[0] for _, v in s.rows])
     else:
         norm = lambda s: _fold(s.values * s.values)
@@ -234,4 +240,3 @@ def check_indexable(method: str, kind: Kind, metric: str, dim: int | None) -> No
         raise VectorError("dimensions must be greater than one for this opclass")
 
 
-DEFAULT_KIND = VECTOR
