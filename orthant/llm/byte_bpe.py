@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import ragged_take, table, text_chunks, worker_cache
+from ._util import map_arrow, ragged_take, table, text_chunks, worker_cache
 
 #: Splits text before the merges (a fixed value: the pattern of the rank files).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest piece, in bytes, that goes through the matrices.
 LONGEST_ROW = 256
 #: Distinct pieces that a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NO_RANK = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -251,9 +251,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             arrays = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, pa.array(flat))], [*(f.name for f in kept), ids])
+        codec.forget()
 
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return map_arrow(df.select(*(F.col(f"`{f.name}`") for f in kept)), run, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -274,7 +275,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks_path
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), binary], [*(f.name for f in kept), decoded])
 
     schema = T.StructType([*kept, T.StructField(decoded, T.BinaryType())])
-    return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    return map_arrow(df.select(*(F.col(f"`{f.name}`") for f in kept)), run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

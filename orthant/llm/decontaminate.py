@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import table, text_chunks
+from ._util import map_arrow, table, text_chunks
 
 WINDOW = 13
 #: Benchmark text in one automaton, in bytes; a single longer item has one of its own.
@@ -232,7 +232,7 @@ def _scan(docs: DataFrame, shared, text: str, again: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *results], [*(f.name for f in kept), *_RESULT])
 
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in _RESULT.items())])
-    return docs.select(*(F.col(f"`{f.name}`") for f in read)).mapInArrow(run, schema)
+    return map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in read)), run, schema)
 
 
 def cut_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -254,7 +254,7 @@ def cut_spans(df: DataFrame, text: str = "text") -> DataFrame:
             at = [f.name for f in kept].index(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_covered: float = 0.5) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import held_out, portions, table, text_chunks, training_sample
+from ._util import held_out, map_arrow, portions, table, text_chunks, training_sample
 from .ngram_join import _LOWER, _ODD, _SPACE, mix
 
 PASSAGE = 48
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", name: str
             scores = shared.value.score([t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(scores, pa.float64())], [*(f.name for f in kept), name])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in kept)), run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
 
 
 def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import checkpoint, ragged_take, table, text_chunks
+from ._util import checkpoint, map_arrow, ragged_take, table, text_chunks
 from .components import components
 
 N, NUM, DEN = 4, 85, 100
@@ -293,7 +293,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
 
 
 def _pack_parts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for whole in text_chunks(batches, "_text", 8 << 20):
+    for whole in text_chunks(batches, "_text", 3 << 20):
         for at in range(0, whole.num_rows, 65536):  # set numbers take 16 bits
             batch = whole.slice(at, 65536)
             sets = {set_id(s): s for s in shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)}
@@ -392,12 +392,12 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """key, n_shingles and component_id (the least key that links reach) of each row."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"))
-    described = checkpoint(rows.mapInArrow(lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set bigint"))
+    described = checkpoint(map_arrow(rows, lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set bigint"))
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(0.4 * total) // BUCKET))
-    packed = rows.mapInArrow(lambda it: _pack_parts(it, n, buckets), "bucket int, entries binary, sets binary")
+    packed = map_arrow(rows, lambda it: _pack_parts(it, n, buckets), "bucket int, entries binary, sets binary")
     spread = packed.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("entries")).otherwise(F.lit(0))).repartition(max(buckets, 2), "bucket", "salt").sortWithinPartitions("bucket")
-    loose = components(spread.drop("salt").mapInArrow(_equal_parts, "a bigint, b bigint"))
+    loose = components(map_arrow(spread.drop("salt"), _equal_parts, "a bigint, b bigint"))
     loose = checkpoint(loose.select(F.col("node").alias("set"), F.col("component").alias("group")))
     classes = described.where("n > 0").groupBy("set").agg(F.min(F.struct("_k", "_x")).alias("one"), F.min("n").alias("n"), F.min("_k").alias("least"))
     members = classes.join(loose, "set").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x"))
@@ -409,7 +409,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     same = rows["_k"].eqNullSafe(wanted["_k"]) & (rows["_x"] == wanted["_x"])
     dealt = rows.join(wanted, same).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
-    links = dealt.mapInArrow(lambda it: _join_groups(it, n), "a bigint, b bigint")
+    links = map_arrow(dealt, lambda it: _join_groups(it, n), "a bigint, b bigint")
     joined = components(links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = joined.join(least, "component").select("set", "component_id").unionByName(classes.join(joined, "set", "left_anti").select("set", F.col("least").alias("component_id")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import checkpoint, ragged_take, table, text_chunks
+from ._util import checkpoint, map_arrow, ragged_take, table, text_chunks
 
 LENGTH = 400
 GRAM = 128
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_rest"))
-    found = rows.select("_k", "_x", "_text").mapInArrow(lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int")
+    found = map_arrow(rows.select("_k", "_x", "_text"), lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int")
     found = checkpoint(found)
     counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "start", "windows")).alias("one"))
     counted = checkpoint(counted)
@@ -289,12 +289,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def bodies(which: DataFrame) -> DataFrame:
         lists = which.groupBy("_k", "_x").agg(F.collect_list("want").alias("wanted"))  # as long as the text at most
         joined = rows.join(lists, same(rows, lists)).select("_text", "wanted", "_rest")  # the same columns as below, so both joins read one exchange
-        return joined.mapInArrow(lambda it: _cut_contexts(it, length), "anchor bigint, context bigint, body binary")
+        return map_arrow(joined, lambda it: _cut_contexts(it, length), "anchor bigint, context bigint, body binary")
 
     cold = bodies(wanted.where(F.col("contexts") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "context")
-    marks.append(cold.mapInArrow(lambda it: _sort_contexts(it, length), f"anchor bigint, context bigint, ranges {_RANGES_SQL}").where(F.size("ranges") > 0).join(ones, ["anchor", "context"], "left_semi"))
+    marks.append(map_arrow(cold, lambda it: _sort_contexts(it, length), f"anchor bigint, context bigint, ranges {_RANGES_SQL}").where(F.size("ranges") > 0).join(ones, ["anchor", "context"], "left_semi"))
     if not several.where(F.col("contexts") > hot).isEmpty():
-        windows = bodies(wanted.where(F.col("contexts") > hot)).mapInArrow(lambda it: _hash_windows(it, length), "anchor bigint, context bigint, at int, window binary")
+        windows = map_arrow(bodies(wanted.where(F.col("contexts") > hot)), lambda it: _hash_windows(it, length), "anchor bigint, context bigint, at int, window binary")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         ranges = F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("ranges")
         marks.append(windows.join(twice, "window").groupBy("anchor", "context").agg(ranges).join(ones, ["anchor", "context"], "left_semi"))
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cut = rows.join(per_text, same(rows, per_text), "left").select("_text", "ranges", rows["_k"], "_rest")
     kept = "string" if as_text else "binary"
     rest = rows.schema["_rest"].dataType.simpleString()
-    done = cut.mapInArrow(lambda it: _cut_texts(it, length, as_text), f"n_bytes bigint, spans {_RANGES_SQL}, kept {kept}, _k {kind}, _rest {rest}")
+    done = map_arrow(cut, lambda it: _cut_texts(it, length, as_text), f"n_bytes bigint, spans {_RANGES_SQL}, kept {kept}, _k {kind}, _rest {rest}")
     return done.select(F.col("_k").alias(key), "n_bytes", "spans", "kept", *(F.col("_rest")[c].alias(c) for c in keep))
 
 

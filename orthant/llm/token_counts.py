@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import checkpoint, table, text_chunks
+from ._util import checkpoint, map_arrow, table, text_chunks
 from .byte_bpe import PATTERN, _codec, default_ranks_path
 
 SPAN = 512
@@ -34,8 +34,9 @@ def encoded_lengths(docs: DataFrame, text: str = "text", ranks_path: str | None
         codec = _codec(path, pattern)
         for batch in text_chunks(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array(codec.encode(batch.column(text).to_pylist())[1].astype(np.int64))], ["n_tokens"])
+        codec.forget()
 
-    return docs.select(text).mapInArrow(run, "n_tokens bigint")
+    return map_arrow(docs.select(text), run, "n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens", span: int = SPAN) -> DataFrame:
