@@ -258,7 +258,7 @@ def bit_from_text(text) -> Column:
 def bit_to_text(v) -> Column:
     v = column(v)
     one = lambda i: F.call_function("shiftright", F.element_at(v["words"], F.floor(i / 64).cast("int") + 1), 63 - i % 64).bitwiseAND(F.lit(1)).cast("string")
-    return F.when(v["nbits"] == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(v["nbits"] - 1, F.lit(0))), one), ""))
+    return F.when(v.isNull(), None).when(v["nbits"] == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(v["nbits"] - 1, F.lit(0))), one), ""))
 
 
 def _whole(a: Column, kind: Kind) -> Column:
