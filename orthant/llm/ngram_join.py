@@ -18,8 +18,10 @@ subtree's longest set can't reach the least overlap that its sizes need. A found
 its turn, so a group of m copies costs about m short probes and yields m - 1 links, not m * m / 2.
 
 Scale: parts travel packed, 8 bytes each, in blobs dealt over as many buckets as the corpus needs; a task forwards
-a part's least set only, so a hot part costs an entry per task. A loose group of over BLOCK elements is cut into
-blocks, each pair of blocks a task of bounded memory. Text travels once for the sets with candidates.
+a part's least set only, so a hot part costs an entry per task. In a loose group of over BLOCK elements every member
+is first held against HUBS members; what these join (nearly all of a group of near copies) needs no tests within,
+and the rest meets itself and the joined part block by block, each pair of blocks a task of bounded memory. Text
+travels once for the sets with candidates, once more in larger groups.
 Classes are told apart by 64-bit hashes of sets of 64-bit hashes.
 
 Edge cases: null and empty texts have an empty set, no links, and are their own component; repeated rows are a
@@ -41,6 +43,8 @@ from .components import components
 N, NUM, DEN = 4, 85, 100
 #: Elements that one task of the tree join holds, for each of its two sides.
 BLOCK = 1_500_000
+#: Members of a larger group that all others are held against first, and the most that their texts may take to be broadcast.
+HUBS, HUB_BYTES = 4, 32 << 20
 #: Packed parts in a bucket, about.
 BUCKET = 2_000_000
 
@@ -388,6 +392,64 @@ def _join_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
+def _same_row(a: DataFrame, b: DataFrame):
+    return a["_k"].eqNullSafe(b["_k"]) & (a["_x"] == b["_x"])
+
+
+def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (set, text, hubs of its group) -> links (a, b) of the set to hubs."""
+    held: dict[int, np.ndarray] = {}
+    for batch in text_chunks(batches, "_text"):
+        sets = shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)
+        a, b = [], []
+        for own, ident, hubs in zip(sets, batch.column("set").to_pylist(), batch.column("hubs").to_pylist()):
+            for h in hubs:
+                if h["hub"] not in held:
+                    if len(held) > 64:
+                        held.clear()
+                    held[h["hub"]] = shingle_sets([(h["text"] or "").encode("utf-8", "surrogatepass")], n)[0]
+                hub = held[h["hub"]]
+                overlap = len(np.intersect1d(own, hub, assume_unique=True))
+                if h["hub"] != ident and overlap >= needed(len(own), len(hub)):
+                    a.append(ident)
+                    b.append(h["hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _hub_links(rows: DataFrame, large: DataFrame, n: int) -> DataFrame:
+    """Links of the members of large groups to HUBS members of each, picked by hashes: a row a member and hub at most."""
+    picks = [F.min(F.struct(F.xxhash64("set", F.lit(i)).alias("h"), "set", "_k", "_x")).alias(f"h{i}") for i in range(HUBS)]
+    hubs = large.groupBy("group").agg(*picks).select("group", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h")).select("group", F.col("h.set").alias("hub"), "h._k", "h._x").distinct()
+    texts = rows.join(hubs, _same_row(rows, hubs)).groupBy("group", "hub").agg(F.first("_text").alias("text")).groupBy("group").agg(F.collect_list(F.struct("hub", "text")).alias("hubs"))
+    texts = checkpoint(texts)
+    size = texts.agg(F.sum(F.aggregate("hubs", F.lit(0).cast("long"), lambda t, h: t + F.octet_length(h["text"])))).first()[0] or 0
+    placed = rows.join(large, _same_row(rows, large)).select("group", "set", "_text")
+    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n), "a bigint, b bigint")
+
+
+def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """set, group, _k, _x and the tasks (one, other, side) of the members of large groups.
+
+    What hubs have joined into a group's largest part needs no tests within; the rest is tested against itself and
+    against that part, block by block. So a group of near copies costs about as many tasks as it has blocks.
+    """
+    known = large.join(joined.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("part", F.coalesce("component", "set"))
+    weights = known.groupBy("group", "part").agg(F.sum("n").alias("w"))
+    totals = weights.groupBy("group").agg(F.max(F.struct("w", "part")).alias("top"), F.sum("w").alias("all"))
+    cut = lambda w: F.ceil(w / F.lit(block)).cast("int")
+    counts = totals.select("group", F.col("top.part").alias("main"), cut(F.col("top.w")).alias("inner"), cut(F.col("all") - F.col("top.w")).alias("outer"))
+    placed = known.join(counts, "group").withColumn("_main", F.col("part") == F.col("main"))
+    own = lambda blocks: F.pmod(F.xxhash64("set", F.lit(7)), F.greatest(blocks, F.lit(1)).cast("bigint")).cast("int")
+    upto = lambda blocks: F.slice(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1))), F.lit(1), blocks)
+    task = lambda one, other, side: F.struct(one.cast("int").alias("one"), other.cast("int").alias("other"), side.cast("int").alias("side"))
+    mine = F.col("_own")
+    inside = F.transform(upto(F.col("outer")), lambda b: task(F.least(b, mine), F.greatest(b, mine), mine > b))
+    across = F.transform(upto(F.col("inner")), lambda c: task(mine, F.col("outer") + c, F.lit(0)))
+    back = F.transform(upto(F.col("outer")), lambda i: task(i, F.col("outer") + mine, F.lit(1)))
+    placed = placed.withColumn("_own", F.when(F.col("_main"), own(F.col("inner"))).otherwise(own(F.col("outer"))))
+    return placed.select("set", "group", "_k", "_x", F.when(F.col("_main"), back).otherwise(F.concat(inside, across)).alias("tasks")).where(F.size("tasks") > 0)
+
+
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK) -> DataFrame:
     """key, n_shingles and component_id (the least key that links reach) of each row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -402,14 +464,18 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     classes = described.where("n > 0").groupBy("set").agg(F.min(F.struct("_k", "_x")).alias("one"), F.min("n").alias("n"), F.min("_k").alias("least"))
     members = classes.join(loose, "set").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x"))
     sizes = loose.join(classes, "set").groupBy("group").agg((F.floor(F.sum("n") / F.lit(block)) + 1).cast("int").alias("blocks"))
-    members = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("set", F.lit(7)), F.col("blocks").cast("bigint")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    tasks = F.transform(every, lambda b: F.struct(F.least(b, F.col("own")).alias("one"), F.greatest(b, F.col("own")).alias("other"), (F.col("own") > b).cast("int").alias("side")))
-    wanted = members.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", tasks.alias("tasks"))).alias("tasks"))
-    same = rows["_k"].eqNullSafe(wanted["_k"]) & (rows["_x"] == wanted["_x"])
-    dealt = rows.join(wanted, same).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
+    members = checkpoint(members.join(sizes, "group"))
+    tasks = members.where("blocks = 1").select("set", "group", "_k", "_x", F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("other"), F.lit(0).alias("side"))).alias("tasks"))
+    hub_links = None
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        hub_links = checkpoint(_hub_links(rows, large, n))
+        tasks = tasks.unionByName(_block_tasks(large, components(hub_links), block))
+    wanted = tasks.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", "tasks")).alias("tasks"))
+    dealt = rows.join(wanted, _same_row(rows, wanted)).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
     links = map_arrow(dealt, lambda it: _join_groups(it, n), "a bigint, b bigint")
+    links = links if hub_links is None else links.unionByName(hub_links)
     joined = components(links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = joined.join(least, "component").select("set", "component_id").unionByName(classes.join(joined, "set", "left_anti").select("set", F.col("least").alias("component_id")))
