@@ -581,6 +581,40 @@ def hnsw_bits(spark, sf_dir):
     return HnswIndex.build(bits, "bits", metric="jaccard").search(bits.where("vec_id % 20 = 0"), 10, v="bits")
 
 
+def _halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and a typed half-precision column."""
+    return with_kind(table(spark, sf_dir).select("vec_id", E.vector_to_halfvec("embedding").alias("embedding")), "embedding", "halfvec(64)")
+
+
+_HALF_JOIN = f"WITH h AS (SELECT vec_id, {_HALVES} AS h FROM embeddings) SELECT query_id, vec_id, distance, CAST(r AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_DUCK['l2']('b.h', 'a.h')} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DUCK['l2']('b.h', 'a.h')}, b.vec_id) AS r FROM h a, h b WHERE a.vec_id % 20 = 0) WHERE r <= 10"
+
+
+@query("half_knn_join", _HALF_JOIN)
+def half_knn_join(spark, sf_dir):
+    halves = _halved(spark, sf_dir)
+    return K.knn_join(halves.where("vec_id % 20 = 0"), halves, 10)
+
+
+@query("ivf_half_full_probe", _HALF_JOIN)
+def ivf_half_full_probe(spark, sf_dir):
+    halves = _halved(spark, sf_dir)
+    return IvfIndex.build(halves, lists=10).search(halves.where("vec_id % 20 = 0"), 10, probes=10)
+
+
+@query("hnsw_half")
+def hnsw_half(spark, sf_dir):
+    halves = _halved(spark, sf_dir)
+    return HnswIndex.build(halves, metric="l1").search(halves.where("vec_id % 20 = 0"), 10)
+
+
+@query("avg_states", f"SELECT label, pos, CAST(avg(x) AS FLOAT) AS val FROM ({_ELEMENTS.format('embedding')}) GROUP BY label, pos")
+def avg_states(spark, sf_dir):
+    """Averages from the partial states that workers would pass on: [count, sums...]."""
+    states = table(spark, sf_dir).select("label", agg.accumulate_state("embedding").alias("s"))
+    summed = states.groupBy("label").agg(F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(65))).alias("s"))
+    return exploded(summed, agg.final_avg("s"), "label")
+
+
 @query("recall")
 def recall(spark, sf_dir):
     """The part of the exact neighbours that an index finds, by probes."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthant.functions import expr as E
-from orthant.functions.kinds import BIT, SPARSE, VectorError
+from orthant.functions.kinds import BIT, SPARSE, VectorError, with_kind
 from orthant.operators import kmeans, knn
 from orthant.operators.hnsw import Graph, HnswIndex
 from orthant.operators.ivf import IvfIndex
@@ -116,6 +116,23 @@ def test_hnsw_bits_and_sparse_recall(spark):
     assert knn.recall_at_k(HnswIndex.build(sparse, "v").search(sparse.where("vec_id < 20"), 20, v="v"), knn.knn_join(sparse.where("vec_id < 20"), sparse, 20, v="v")).first()[0] >= 0.99
 
 
+def test_half_and_bit_recall(spark):
+    r = np.random.default_rng(7)
+    values = frame(spark, 2 * r.random((20_000, 10)) * r.random((20_000, 10)))
+    halves = with_kind(values.select("vec_id", E.vector_to_halfvec("embedding").alias("embedding")), "embedding", "halfvec(10)").cache()
+    some = halves.where("vec_id < 2000")
+    assert knn.recall_at_k(HnswIndex.build(some).search(halves.where("vec_id < 20"), 20), knn.knn_join(halves.where("vec_id < 20"), some, 20)).first()[0] >= 0.98
+    index, exact = IvfIndex.build(halves, lists=100), knn.knn_join(halves.where("vec_id < 20"), halves, 20).cache()
+    for probes, floor in {1: 0.25, 10: 0.8, 100: 1.0}.items():  # a fifth of the rows, so smaller lists than the published floors are for
+        assert knn.recall_at_k(index.search(halves.where("vec_id < 20"), 20, probes=probes), exact).first()[0] >= floor, probes
+    bits = frame(spark, r.random((20_000, 52)) - 0.5).select("vec_id", E.binary_quantize("embedding").alias("v")).cache()
+    index, exact = IvfIndex.build(bits, "v", metric="hamming", lists=100), knn.knn_join(bits.where("vec_id < 20"), bits, 20, v="v", metric="hamming").cache()
+    worst = exact.groupBy("query_id").agg(F.max("distance").alias("most"))
+    for probes, floor in {1: 0.08, 10: 0.5, 100: 1.0}.items():
+        found = index.search(bits.where("vec_id < 20"), 20, probes=probes, v="v")
+        assert found.join(worst, "query_id").where("distance <= most").count() >= floor * exact.count()
+
+
 def test_filters(spark, uniform, asked):
     ivf, few = IvfIndex.build(uniform, lists=50), uniform.where("vec_id % 100 = 0")
     exact = knn.knn_join(asked, few, 10)
