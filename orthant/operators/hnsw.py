@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import KINDS, SPARSE, VectorError, kind_of
 from ..plans.options import build_options, scan_option
+from ..shared import share
 from ..sources.index_store import Store
 from .ivf import _dims, _rows
 from .knn import QUERY_BYTES, TopK, query_blocks, top_k
@@ -291,7 +292,7 @@ class HnswIndex:
         free = iterative == "off" and keys is None and self._deleted() is None
         largest = 0 if free else int(self.store.table(f"shards-{self.meta['version']}").agg(F.max("n")).first()[0] or 0)
         while True:
-            shared = self.store.spark.sparkContext.broadcast((names, asked, live))
+            shared = share(self.store.spark, (names, asked, live))
             part = self._filtered(shards.select("payload").mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns), schema), keys).select(*columns)
             if iterative == "off":
                 return part

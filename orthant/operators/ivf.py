@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import BIT, KINDS, SPARSE, VectorError, kind_of
 from ..plans.options import build_options, scan_option
+from ..shared import share
 from ..sources.index_store import Store
 from . import kmeans as km
 from .knn import QUERY_BYTES, TopK, query_blocks, scored_candidates, top_k
@@ -101,7 +102,7 @@ class IvfIndex:
         return cls(store, store.load_meta(), np.array([r.center for r in rows]))
 
     def _assigned(self, rows: DataFrame) -> DataFrame:
-        shared, kind, metric = self.spark.sparkContext.broadcast(self.centers), self.kind, self.metric
+        shared, kind, metric = share(self.spark, self.centers), self.kind, self.metric
         key, vec = rows.schema["key"], rows.schema["vec"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,7 @@ class IvfIndex:
             for q in live.tolist():
                 for c in order[q, at:until].tolist():
                     wanted[c].append(q)
-            shared = self.spark.sparkContext.broadcast((names, asked, {c: np.array(q) for c, q in wanted.items()}))
+            shared = share(self.spark, (names, asked, {c: np.array(q) for c, q in wanted.items()}))
             rows = entries if len(wanted) >= self.lists else entries.where(F.col("list_id").isin(sorted(wanted)))
             part = rows.mapInArrow(_scanner(shared, kind, self.metric, k if keys is None else None, (query, own_key, out)), schema)
             if keys is not None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.kinds import BIT, SPARSE, VECTOR, Kind, kind_of
+from ..shared import share
 from .metrics import batch_of, check_same, metric_of
 
 #: Queries that are broadcast at once, in bytes of their vectors.
@@ -142,7 +143,7 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, v: str = "embedding", ke
     rows = df.where(F.col(v).isNotNull()).select(F.col(key).alias("_k"), F.col(v).alias("_v"))
     found = None
     for block in query_blocks(queries, query_v, query_key, limit):
-        shared = df.sparkSession.sparkContext.broadcast((block.column("_q").to_pylist(), batch_of(block.column("_v"), kind)))
+        shared = share(df.sparkSession, (block.column("_q").to_pylist(), batch_of(block.column("_v"), kind)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, asked = shared.value
