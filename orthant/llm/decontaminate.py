@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import share
 from ._util import map_arrow, table, text_chunks
 
 WINDOW = 13
@@ -191,7 +192,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words in windows), hit_items (sorted ids) and hit_spans (word spans, both ends in)."""
     for number, automaton in enumerate(automata(benchmark, item_id, item_text, window, block_bytes)):
-        docs = _scan(docs, docs.sparkSession.sparkContext.broadcast(automaton), text, number > 0)
+        docs = _scan(docs, share(docs.sparkSession, automaton), text, number > 0)
     return docs
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import share
 from ._util import held_out, map_arrow, portions, table, text_chunks, training_sample
 from .ngram_join import _LOWER, _ODD, _SPACE, mix
 
@@ -162,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def score(docs: DataFrame, model: AttentionModel, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a column `score` (double, 0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kept = [f for f in docs.schema if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
