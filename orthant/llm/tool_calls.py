@@ -18,7 +18,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import checkpoint, table
@@ -53,8 +53,9 @@ def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = F.expr(f"turn div {span}")
     told = messages.where("role = 'assistant'").select("conv_id", "turn", body.alias("content")).withColumn("block", block)
     starts = asked.select("conv_id", "turn").withColumn("block", block).groupBy("conv_id", "block").agg(F.sort_array(F.collect_set("turn")).alias("turns"))  # span turns at most
-    lasts = starts.select("conv_id", F.col("block").alias("b"), F.array_max("turns").alias("carried"))
-    reach = told.select("conv_id", "block").distinct().join(lasts, "conv_id").where("b < block").groupBy("conv_id", "block").agg(F.max("carried").alias("carried"))
+    lasts = starts.select("conv_id", "block", F.array_max("turns").alias("last")).unionByName(told.select("conv_id", "block", F.lit(None).cast("bigint").alias("last")))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    reach = lasts.groupBy("conv_id", "block").agg(F.max("last").alias("last")).select("conv_id", "block", F.max("last").over(before).alias("carried"))
     placed = told.join(starts, ["conv_id", "block"], "left").join(reach, ["conv_id", "block"], "left")
     own = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
     return calls, placed.select("conv_id", "turn", F.coalesce(own, F.col("carried")).cast("string").alias("call_id"), "content").where("call_id is not null")

@@ -208,7 +208,7 @@ def test_repeats(spark, hot):
     words = lambda n: " ".join(random.choice(["alpha", "beta", "gamma", "délta", "x"]) + str(random.randrange(50)) for _ in range(n))
     shared = [words(30) for _ in range(4)]
     texts = [words(random.randrange(0, 30)) + (random.choice(shared) if random.random() < 0.6 else "") + words(random.randrange(0, 20)) for _ in range(60)]
-    texts += [texts[0], "abc" * 200, "", "z" * 130]
+    texts += [texts[0], "abc" * 200, "", "z" * 130, "q" * 9000 + "r", "0123456789" * 12, "x" * 99, "lonely period of text, " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, length=100, gram=32, hot=hot).collect()}
     assert [found[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 100)
@@ -355,3 +355,10 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id: (r.n_tokens, list(r.ids)) for r in stages[4](spark, clean, SMALL).collect()}
     assert ids == {i: (len(e := encoding.encode_ordinary(t)), e) for i, t in found.items()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()) == sorted(found)
+
+
+def test_results_reach_over_blocks_of_turns(spark):
+    rows = [(1, 0, "user", "ask"), *((1, t, "assistant", f"answer {t}") for t in range(1, 900)), (1, 900, "user", "again"), (1, 901, "assistant", "last"), (2, 5, "assistant", "no call")]
+    calls, results = tool_calls.exchanges(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = results.groupBy("conv_id", "call_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, "0", 899), (1, "900", 1)] and calls.count() == 2
