@@ -30,6 +30,8 @@ from .knn import QUERY_BYTES, TopK, query_blocks, top_k
 from .metrics import BitBatch, DenseBatch, SparseBatch, batch_of, check_indexable, check_same, metric_of
 
 SHARD_ROWS = 1500
+#: Files that one build writes at most.
+MAX_FILES = 10_000
 #: Keys that one element holds.
 KEYS = 10
 _MAX_LEVEL = 30
@@ -215,8 +217,8 @@ class HnswIndex:
             graph = Graph.build(batch.take(keep), keys, metric, m, ef, seed)
             return pa.table({"n": pa.array([len(keys)], pa.int64()), "payload": pa.array([graph.pack()], pa.binary())})
 
-        # two hashes, so equal keys' rows don't decide a shard's size alone
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards)))
+        # a partition, and so a file, for each shard (of very many shards several share one), so searches read them in parallel
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards))).repartition(min(shards, MAX_FILES), "shard")
         made = dealt.groupBy("shard").applyInArrow(build, "n bigint, payload binary")
         self.store.write(made, f"shards-{self.meta['version']}", mode)
 
@@ -286,14 +288,14 @@ class HnswIndex:
     def _search_block(self, block: pa.Table, query_type: str, keys: DataFrame | None, k: int, ef: int, iterative: str, most: int, query: str, out: str) -> DataFrame:
         names, own_key = block.column("_q").to_pylist(), self.meta["key"]
         asked = batch_of(block.column("_v"), self.kind)
-        shards = self.store.table(f"shards-{self.meta['version']}").select("payload", "n").repartition(max(1, self.store.spark.sparkContext.defaultParallelism))
+        shards = self.store.table(f"shards-{self.meta['version']}").select("payload")
         schema = f"{query} {query_type}, {own_key} {self.meta['key_type']}, {out} double"
         columns, parts, live = (query, own_key, out), [], np.arange(len(names))
         free = iterative == "off" and keys is None and self._deleted() is None
         largest = 0 if free else int(self.store.table(f"shards-{self.meta['version']}").agg(F.max("n")).first()[0] or 0)
         while True:
             shared = share(self.store.spark, (names, asked, live))
-            part = self._filtered(shards.select("payload").mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns), schema), keys).select(*columns)
+            part = self._filtered(shards.mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns), schema), keys).select(*columns)
             if iterative == "off":
                 return part
             enough = {r[0] for r in part.groupBy(query).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(query).collect()}
