@@ -4,7 +4,7 @@ A byte goes if a string of `length` bytes covers it that also starts elsewhere,
 
 Method. Every window of `length` bytes has one anchor, the leftmost of its GRAM-byte grams with the least hash.
 Equal windows have equal anchors, so only texts around equal anchors need comparing. A maximal row of windows
-with one anchor is a context (some hundred windows). Contexts are counted by (anchor, context) hash with partial
+whose anchors have one hash is a context (some hundred windows; periodic text has one context for up to LONGEST). Contexts are counted by (anchor, context) hash with partial
 sums before the shuffle: a context that occurs twice repeats whole, and copies never travel. Of the others, where
 an anchor has several distinct contexts, one text each is sorted: contexts are laid end to end, the suffixes
 smaller than their successors are sorted directly, the rest is induced by scans over the buckets of first bytes,
@@ -12,7 +12,7 @@ and adjacent common prefixes of `length` bytes mark repeated windows. An anchor
 contexts (a passage inside very many texts) goes by the hashes of its windows instead, counted with partial sums,
 so that no group comes to one task.
 
-Scale: three shuffles of about one small row for each 140 bytes of text (anchors), and two joins of the texts on
+Scale: three shuffles of about one small row for each 170 bytes of text (anchors), and two joins of the texts on
 their key, which share one exchange. Anchors are checkpointed in the shared folder.
 
 Edge cases: a null text is empty; texts below `length` bytes keep all; repeated rows count as several texts, so
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from ._util import checkpoint, map_arrow, ragged_take, table, text_chunks
 
 LENGTH = 400
-GRAM = 128
+GRAM = 64
 #: Distinct contexts of an anchor that one task sorts.
 HOT = 1000
+#: Windows in one context; longer ones, of periodic text, are cut.
+LONGEST = 4096
 #: Bytes of contexts that are sorted at a time, and of texts hashed at a time.
 SORTED_BYTES, HASHED_BYTES = 256 << 10, 2 << 20
 #: Low bits of a packed hash that hold the place; a longer text is cut into overlapping tiles.
@@ -64,8 +66,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text number, start, windows, anchor hash) of every context of the texts buf[bounds[i] : bounds[i + 1]]."""
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    """(text number, start, windows, anchor hash, whether the anchor recurs in it) of every context of the texts buf[bounds[i] : bounds[i + 1]]."""
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     if len(buf) < length:
         return none
     out = []
@@ -81,9 +83,15 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
         inside = starts + length <= bounds[text + 1]
         starts, text, place = starts[inside], text[inside], place[inside]
         if len(starts):
-            first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+            anchor = hashes[place]
+            first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)]))
             counts = np.diff(np.concatenate([first, [len(starts)]]))
-            out.append((text[first], starts[first] - bounds[text[first]], counts, hashes[place[first]]))
+            pieces = -(-counts // LONGEST)
+            if (pieces > 1).any():  # periodic text
+                part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                left = np.repeat(counts, pieces) - part * LONGEST
+                first, counts = np.repeat(first, pieces) + part * LONGEST, np.minimum(left, LONGEST)
+            out.append((text[first], starts[first] - bounds[text[first]], counts, anchor[first], place[first] != place[first + counts - 1]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
 
@@ -188,13 +196,13 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         texts = [t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()]
         body = b"".join(texts)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        text, start, windows, hashes = anchors(np.frombuffer(body, np.uint8), bounds, length, gram)
+        text, start, windows, hashes, inner = anchors(np.frombuffer(body, np.uint8), bounds, length, gram)
         view, begin = memoryview(body), bounds[text] + start
         whole = np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + windows + length - 1).tolist())), np.uint64, len(text))
         which = pa.array(text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_k").take(which), batch.column("_x").take(which), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-            ["_k", "_x", "anchor", "context", "start", "windows"],
+            [batch.column("_k").take(which), batch.column("_x").take(which), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(inner)],
+            ["_k", "_x", "anchor", "context", "start", "windows", "inner"],
         )
 
 
@@ -274,14 +282,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_rest"))
-    found = map_arrow(rows.select("_k", "_x", "_text"), lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int")
+    found = map_arrow(rows.select("_k", "_x", "_text"), lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int, inner boolean")
     found = checkpoint(found)
-    counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "start", "windows")).alias("one"))
+    counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "start", "windows")).alias("one"), F.max("inner").alias("inner"))
     counted = checkpoint(counted)
-    several = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("total > 1")
+    several = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least"), F.max("inner").alias("any_inner")).where("total > 1 or any_inner")
     repeated = counted.join(several, "anchor")
     copies = repeated.where("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))).cast(_RANGES_SQL).alias("ranges"))
-    wanted = repeated.where("contexts > 1 and least = 1").select(F.col("one._k").alias("_k"), F.col("one._x").alias("_x"), F.struct("anchor", "context", F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("want"), "contexts")
+    wanted = repeated.where("least = 1 and (contexts > 1 or inner)").select(F.col("one._k").alias("_k"), F.col("one._x").alias("_x"), F.struct("anchor", "context", F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("want"), "contexts")
     same = lambda a, b: a["_k"].eqNullSafe(b["_k"]) & (a["_x"] == b["_x"])
     marks = [copies]
     ones = counted.where("n = 1").select("anchor", "context")
