@@ -220,7 +220,10 @@ class HnswIndex:
         # a partition, and so a file, for each shard (of very many shards several share one), so searches read them in parallel
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards))).repartition(min(shards, MAX_FILES), "shard")
         made = dealt.groupBy("shard").applyInArrow(build, "n bigint, payload binary")
+        context = self.store.spark.sparkContext
+        context.setJobDescription("hnsw: loading rows")
         self.store.write(made, f"shards-{self.meta['version']}", mode)
+        context.setJobDescription(None)
 
     def insert(self, df: DataFrame, v: str = "embedding", key: str | None = None) -> None:
         """New rows in new shards."""
@@ -279,6 +282,14 @@ class HnswIndex:
             found = part if found is None else found.unionByName(part)
         return top_k(found, k, query, own_key, out)
 
+    def nearest_to(self, query: list[float] | None, k: int, out: str = "distance", **options) -> DataFrame:
+        """key and distance of the k rows nearest to one dense query; a null query is at distance 0 from every row, in no order."""
+        key = self.meta["key"]
+        if query is None:
+            return self.rows().limit(k).select(F.col("key").alias(key), F.lit(0.0).alias(out))
+        asked = self.store.spark.createDataFrame([(0, [float(x) for x in query])], "_id int, _vector array<float>")
+        return self.search(asked, k, v="_vector", key="_id", out=out, **options).orderBy("rank").select(key, out)
+
     def _filtered(self, found: DataFrame, keys: DataFrame | None) -> DataFrame:
         own_key, gone = self.meta["key"], self._deleted()
         if gone is not None:

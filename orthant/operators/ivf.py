@@ -181,6 +181,14 @@ class IvfIndex:
             found = part if found is None else found.unionByName(part)
         return top_k(found, k, query, self.meta["key"], out)
 
+    def nearest_to(self, query: list[float] | None, k: int, out: str = "distance", **options) -> DataFrame:
+        """key and distance of the k rows nearest to one dense query; a null query is at distance 0 from every row, in no order."""
+        key = self.meta["key"]
+        if query is None:
+            return self.entries().limit(k).select(F.col("key").alias(key), F.lit(0.0).alias(out))
+        asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "_id int, _vector array<float>")
+        return self.search(asked, k, v="_vector", key="_id", out=out, **options).orderBy("rank").select(key, out)
+
     def _search_block(self, block: pa.Table, query_type: str, entries: DataFrame, keys: DataFrame | None, k: int, probes: int, most: int, query: str, out: str) -> DataFrame:
         names, kind, own_key = block.column("_q").to_pylist(), self.kind, self.meta["key"]
         asked = batch_of(block.column("_v"), kind)

@@ -182,6 +182,14 @@ def test_duplicates_and_few_samples(spark):
     assert HnswIndex.build(same.limit(0)).search(same.limit(1), 3).count() == 0
 
 
+def test_one_query_and_null_query(spark, golden):
+    for index in (IvfIndex.build(golden, lists=2), HnswIndex.build(golden)):
+        options = {"probes": 2} if index.method == "ivf" else {}
+        assert [r.vec_id for r in index.nearest_to([3, 3, 3], 2, **options).collect()] == [2, 5]
+        found = index.nearest_to(None, 10).collect()
+        assert len(found) == 4 and {r.distance for r in found} == {0.0}
+
+
 def test_graph_round_trip():
     values = np.random.default_rng(5).random((300, 8))
     graph = Graph.build(DenseBatch(values.astype(np.float32).astype(float)), np.arange(300), METRICS["l2"], 16, 64, 0)
