@@ -26,7 +26,7 @@ from ..plans.options import build_options, scan_option
 from ..shared import share
 from ..sources.index_store import Store
 from .ivf import _dims, _rows
-from .knn import QUERY_BYTES, TopK, query_blocks, top_k
+from .knn import QUERY_BYTES, TopK, arrow_types, query_blocks, top_k
 from .metrics import BitBatch, DenseBatch, SparseBatch, batch_of, check_indexable, check_same, metric_of
 
 SHARD_ROWS = 1500
@@ -240,12 +240,14 @@ class HnswIndex:
         """key and vec of every row that is indexed and not deleted."""
         kind = self.kind
 
+        key_type = arrow_types(self.meta["key_type"])[0]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for payload in batch.column("payload").to_pylist():
                     graph = Graph.unpack(payload)
                     which = [i for i, keys in enumerate(graph.keys) for _ in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for keys in graph.keys for k in keys]), _arrow_of(graph.batch, which, kind)], ["key", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k for keys in graph.keys for k in keys], key_type), _arrow_of(graph.batch, which, kind)], ["key", "vec"])
 
         found = self.store.table(f"shards-{self.meta['version']}").select("payload").mapInArrow(run, f"key {self.meta['key_type']}, vec {self.meta['vec']}")
         gone = self._deleted()
@@ -301,12 +303,12 @@ class HnswIndex:
         asked = batch_of(block.column("_v"), self.kind)
         shards = self.store.table(f"shards-{self.meta['version']}").select("payload")
         schema = f"{query} {query_type}, {own_key} {self.meta['key_type']}, {out} double"
-        columns, parts, live = (query, own_key, out), [], np.arange(len(names))
+        columns, types, parts, live = (query, own_key, out), arrow_types(query_type, self.meta["key_type"]), [], np.arange(len(names))
         free = iterative == "off" and keys is None and self._deleted() is None
         largest = 0 if free else int(self.store.table(f"shards-{self.meta['version']}").agg(F.max("n")).first()[0] or 0)
         while True:
             shared = share(self.store.spark, (names, asked, live))
-            part = self._filtered(shards.mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns), schema), keys).select(*columns)
+            part = self._filtered(shards.mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns, types), schema), keys).select(*columns)
             if iterative == "off":
                 return part
             enough = {r[0] for r in part.groupBy(query).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(query).collect()}
@@ -322,7 +324,7 @@ class HnswIndex:
             ef = min(ef * 2, max(most, ef), max(largest, ef))
 
 
-def _searcher(shared, kind, metric, ef: int, k: int | None, columns: tuple[str, str, str]):
+def _searcher(shared, kind, metric, ef: int, k: int | None, columns: tuple[str, str, str], types: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked, live = shared.value
         units = asked.unit()[0] if metric.unit else asked
@@ -345,7 +347,7 @@ def _searcher(shared, kind, metric, ef: int, k: int | None, columns: tuple[str,
                     query = np.array(query)
                     best.add(query, metric.exact(asked.take(query), graph.batch.take(np.array(element))), np.array(key))
         if best.key is not None:
-            yield _rows(names, best.query, best.key, best.distance, columns)
+            yield _rows(names, best.query, best.key, best.distance, columns, types)
 
     return run
 

@@ -21,7 +21,7 @@ from ..plans.options import build_options, scan_option
 from ..shared import share
 from ..sources.index_store import Store
 from . import kmeans as km
-from .knn import QUERY_BYTES, TopK, query_blocks, scored_candidates, top_k
+from .knn import QUERY_BYTES, TopK, arrow_types, query_blocks, scored_candidates, top_k
 from .metrics import batch_of, check_indexable, check_same, metric_of
 
 #: Most memory of the broadcast centers, in bytes.
@@ -205,7 +205,7 @@ class IvfIndex:
                     wanted[c].append(q)
             shared = share(self.spark, (names, asked, {c: np.array(q) for c, q in wanted.items()}))
             rows = entries if len(wanted) >= self.lists else entries.where(F.col("list_id").isin(sorted(wanted)))
-            part = rows.mapInArrow(_scanner(shared, kind, self.metric, k if keys is None else None, (query, own_key, out)), schema)
+            part = rows.mapInArrow(_scanner(shared, kind, self.metric, k if keys is None else None, (query, own_key, out), arrow_types(query_type, self.meta["key_type"])), schema)
             if keys is not None:
                 part = part.join(keys.withColumnRenamed("key", own_key), own_key, "left_semi").select(query, own_key, out)
             found = part if found is None else found.unionByName(part)
@@ -219,7 +219,7 @@ class IvfIndex:
                 return found
 
 
-def _scanner(shared, kind, metric, k: int | None, columns: tuple[str, str, str]):
+def _scanner(shared, kind, metric, k: int | None, columns: tuple[str, str, str], types: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked, wanted = shared.value
         best = TopK(k if k is not None else 2**31 - 1)
@@ -244,14 +244,14 @@ def _scanner(shared, kind, metric, k: int | None, columns: tuple[str, str, str])
                     scored_candidates(asked.take(queries), whole.take(part), keys[part], metric, own)
                 if own.key is not None:
                     if k is None:
-                        yield _rows(names, queries[own.query], own.key, own.distance, columns)
+                        yield _rows(names, queries[own.query], own.key, own.distance, columns, types)
                     else:
                         best.add(queries[own.query], own.distance, own.key)
         if best.key is not None:
-            yield _rows(names, best.query, best.key, best.distance, columns)
+            yield _rows(names, best.query, best.key, best.distance, columns, types)
 
     return run
 
 
-def _rows(names: list, query: np.ndarray, key: np.ndarray, distance: np.ndarray, columns: tuple[str, str, str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in query.tolist()]), pa.array(key.tolist()), pa.array(distance, pa.float64())], list(columns))
+def _rows(names: list, query: np.ndarray, key: np.ndarray, distance: np.ndarray, columns: tuple[str, str, str], types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in query.tolist()], types[0]), pa.array(key.tolist(), types[1]), pa.array(distance, pa.float64())], list(columns))

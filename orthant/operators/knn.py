@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import expr
 from ..functions.kinds import BIT, SPARSE, VECTOR, Kind, kind_of
@@ -73,6 +75,11 @@ def with_ties(df: DataFrame, query, k: int, v: str = "embedding", key: str = "ve
     return scored.join(F.broadcast(most), F.col(out) <= F.col("_most")).drop("_most")
 
 
+def arrow_types(*names: str) -> tuple[pa.DataType, ...]:
+    """Arrow types of Spark types by name, for batches that Python workers return."""
+    return tuple(to_arrow_type(_parse_datatype_string(n)) for n in names)
+
+
 class TopK:
     """The k best (distance, key) of each query, as arrays; NaN comes after all numbers."""
 
@@ -145,6 +152,8 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, v: str = "embedding", ke
     for block in query_blocks(queries, query_v, query_key, limit):
         shared = share(df.sparkSession, (block.column("_q").to_pylist(), batch_of(block.column("_v"), kind)))
 
+        q_type, k_type = arrow_types(*types)
+
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, asked = shared.value
             best = TopK(k)
@@ -154,7 +163,7 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, v: str = "embedding", ke
                     check_same(asked, own, kind)
                     scored_candidates(asked, own, np.array(batch.column("_k").to_pylist()), scorer, best)
             ids = [] if best.key is None else best.key.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.query]), pa.array(ids), pa.array(best.distance)], [query, key, out])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best.query], q_type), pa.array(ids, k_type), pa.array(best.distance, pa.float64())], [query, key, out])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

@@ -190,6 +190,19 @@ def test_one_query_and_null_query(spark, golden):
         assert len(found) == 4 and {r.distance for r in found} == {0.0}
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_keys_of_other_types(spark, golden, kind):
+    typed = golden.withColumn("vec_id", F.col("vec_id").cast(kind))
+    query = typed.where("vec_id = 3")
+    expected = [r.vec_id for r in knn.knn_join(query, typed, 4).orderBy("rank").collect()]
+    assert expected[0] in (3, "3") and len(expected) == 4
+    for index, options in ((IvfIndex.build(typed, lists=2), {"probes": 2}), (HnswIndex.build(typed), {})):
+        index.insert(typed.where("vec_id = 2").withColumn("vec_id", F.lit(77).cast(kind)))
+        index.delete(typed.where("vec_id = 5"))
+        index.compact()
+        assert index.search(query, 9, **options).count() == 4
+
+
 def test_graph_round_trip():
     values = np.random.default_rng(5).random((300, 8))
     graph = Graph.build(DenseBatch(values.astype(np.float32).astype(float)), np.arange(300), METRICS["l2"], 16, 64, 0)
