@@ -122,7 +122,8 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = exchanges(messages)
     calls = calls.unionByName(embedded_calls(messages))
     results = results.unionByName(embedded_results(messages))
-    return link(calls, results, spark.createDataFrame(list(EXCHANGE_FIELDS), _FIELDS_SQL))
+    linked = link(calls, results, spark.createDataFrame(list(EXCHANGE_FIELDS), _FIELDS_SQL))
+    return linked.withColumn("result_turn", F.coalesce("result_turn", F.lit(-1).cast("long")))  # -1: no result
 
 
 ORACLE = r"""
@@ -136,7 +137,7 @@ results AS (
   FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn < a.turn AND b.role <> 'assistant'
   WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn
 )
-SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level, calls.turn, CAST(0 AS INTEGER) AS place, result_turn, words >= 1 AS valid,
+SELECT conv_id, call_id, CAST(0 AS INTEGER) AS level, calls.turn, CAST(0 AS INTEGER) AS place, coalesce(result_turn, -1) AS result_turn, words >= 1 AS valid,
   '{"call":{"arguments":{"text":' || CAST(to_json(text) AS VARCHAR) || ',"words":' || words || '},"id":"' || call_id || '","name":"' || role || '"},"result":' ||
   coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
 FROM calls LEFT JOIN results USING (conv_id, turn)
