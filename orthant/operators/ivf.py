@@ -1,7 +1,7 @@
 """Inverted lists: an approximate index of lists around k-means centers.
 
 Build: a bounded sample gives the centers on the driver; every row goes to its nearest center's list in one map;
-the table is dealt by (list, key), so a list of any size spreads over tasks and files, and sorted, so a scan of a
+the table is dealt by list and part, so a list of any size spreads over tasks and files, and sorted, so a scan of a
 few lists skips the other row groups (or whole folders, with layout="partitioned"). Search: a query's nearest
 `probes` lists are scanned, their rows scored exactly. Inserts append; deletes are remembered and left out until
 compact() rewrites the table. Null vectors are not indexed, nor, for cosine, vectors of length 0.
@@ -24,6 +24,8 @@ from . import kmeans as km
 from .knn import QUERY_BYTES, TopK, arrow_types, query_blocks, scored_candidates, top_k
 from .metrics import batch_of, check_indexable, check_same, metric_of
 
+#: A list of all rows would be dealt in parts of about so many.
+PART_ROWS = 2_000_000
 #: Most memory of the broadcast centers, in bytes.
 CENTER_BYTES = 256 << 20
 
@@ -84,7 +86,7 @@ class IvfIndex:
         if scorer.unit and len(points):
             points = points[(points**2).sum(1) > 0]
         centers = km.kmeans(points, lists, scorer.spherical, kind is BIT, seed)
-        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "layout": layout, "version": 0, "seed": seed, "vec": df.schema[v].dataType.simpleString(), "key_type": df.schema[key].dataType.simpleString(), "few_samples": len(points) < lists}
+        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "layout": layout, "version": 0, "seed": seed, "parts": -(-max(1, total) // PART_ROWS), "vec": df.schema[v].dataType.simpleString(), "key_type": df.schema[key].dataType.simpleString(), "few_samples": len(points) < lists}
         if centers.nbytes > CENTER_BYTES:
             raise VectorError(f"centers take {centers.nbytes >> 20} MB, limit is {CENTER_BYTES >> 20} MB")
         index = cls(Store(spark, path), meta, centers)
@@ -121,8 +123,12 @@ class IvfIndex:
         return f"entries-{self.meta['version']}"
 
     def _append(self, rows: DataFrame, mode: str) -> None:
-        dealt = self._assigned(rows).repartitionByRange("list_id", "key").sortWithinPartitions("list_id")
-        writer = dealt.write.mode(mode)
+        self._write(self._assigned(rows), mode)
+
+    def _write(self, assigned: DataFrame, mode: str) -> None:
+        """Deals rows by list, a large list in several parts; unlike ranges this needs no pass to find bounds."""
+        part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(self.meta["parts"]))
+        writer = assigned.repartition("list_id", part).sortWithinPartitions("list_id").write.mode(mode)
         (writer.partitionBy("list_id") if self.meta["layout"] == "partitioned" else writer).parquet(f"{self.store.path}/{self._entries_name()}")
 
     def entries(self) -> DataFrame:
@@ -142,8 +148,7 @@ class IvfIndex:
         """Rewrites the table without deleted rows."""
         live = self.entries()
         self.meta["version"] += 1
-        dealt = live.repartitionByRange("list_id", "key").sortWithinPartitions("list_id")
-        (dealt.write.partitionBy("list_id") if self.meta["layout"] == "partitioned" else dealt.write).parquet(f"{self.store.path}/{self._entries_name()}")
+        self._write(live, "error")
         self.store.save_meta(self.meta)
 
     def stats(self) -> DataFrame:
