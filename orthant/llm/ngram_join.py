@@ -363,18 +363,15 @@ def _join_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     current, found = None, []
 
     def flush() -> None:
-        sets = shingle_sets(texts, n)
-        two = len(set(sides)) > 1
-        if current[3] or two:  # a task of two blocks with rows of one side only has nothing to do
-            side = np.array(sides, np.int64) if current[3] else None
-            if side is None or two:
-                found.extend((ids[a], ids[b]) for a, b in forest(sets, side))
-        else:
-            found.extend((ids[a], ids[b]) for a, b in forest(sets))
+        _, one, other = current
+        if one == other:
+            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n)))
+        elif len(set(sides)) == 2:  # two blocks; their own tasks join what is within each
+            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n), np.array(sides, np.int64)))
 
     for batch in batches:
         for group, one, other, side, ident, text in zip(*(batch.column(c).to_pylist() for c in ("group", "one", "other", "side", "set")), batch.column("_text").cast(pa.binary()).to_pylist()):
-            task = (group, one, other, one != other)
+            task = (group, one, other)
             if task != current:
                 if ids:
                     flush()
