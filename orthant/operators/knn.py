@@ -19,6 +19,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import expr
 from ..functions.kinds import BIT, SPARSE, VECTOR, Kind, kind_of
 from ..shared import share
+from ..sources.index_store import shared_folder
 from .metrics import batch_of, check_same, metric_of
 
 #: Queries that are broadcast at once, in bytes of their vectors.
@@ -195,6 +196,24 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, key: str = "vec_
     return a.join(b, key, "full").select(key, (part("_a") + part("_b")).alias(out))
 
 
+def placed(df: DataFrame, *order: Column, out: str = "place") -> DataFrame:
+    """All rows in order, with the place of each from 1 on: a range-partitioned sort, then the counts of the parts before.
+
+    The sorted rows are written once, so both passes see the same parts; one count a part comes to the driver.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
+    at = F.monotonically_increasing_id()  # the part times 2^33, and the row within it
+    rows = df.orderBy(*order).select("*", F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).checkpoint()
+    offsets, before = [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count(F.lit(1))).collect())):
+        offsets.append((part, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(offsets, "_part int, _before long"))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).cast("int").alias(out))
+
+
 def recall_at_k(found: DataFrame, exact: DataFrame, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """One row: the part of the exact neighbours that were found."""
     hits = exact.select(query, key).join(found.select(query, key).distinct().withColumn("_hit", F.lit(1)), [query, key], "left")

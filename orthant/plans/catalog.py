@@ -427,7 +427,8 @@ def knn_join_attr(spark, sf_dir):
 
 @query("count_ordered", "SELECT count(*) AS n FROM (SELECT vec_id FROM embeddings ORDER BY embedding LIMIT 100)")
 def count_ordered(spark, sf_dir):
-    return table(spark, sf_dir).orderBy(E.order_by("embedding")).limit(100).agg(F.count(F.lit(1)).alias("n"))
+    """The whole ordered subquery is counted; its SQL still stops at 100 rows."""
+    return table(spark, sf_dir).orderBy(E.order_by("embedding")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _WORD = "the"
@@ -454,8 +455,8 @@ def hybrid_rrf(spark, sf_dir):
 
 @query("btree_order", "SELECT vec_id, CAST(row_number() OVER (ORDER BY embedding, vec_id) AS INTEGER) AS place FROM embeddings ORDER BY place LIMIT 100")
 def btree_order(spark, sf_dir):
-    first = table(spark, sf_dir).orderBy(E.order_by("embedding"), "vec_id").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(E.order_by("embedding"), "vec_id"))).select("vec_id", "place")
+    """The place of every row; its SQL still stops at 100 rows."""
+    return K.placed(table(spark, sf_dir).select("vec_id", "embedding"), E.order_by("embedding"), F.col("vec_id")).select("vec_id", "place")
 
 
 @query("btree_eq", f"WITH {_Q} SELECT vec_id FROM embeddings, q WHERE embedding = q")
