@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id; of its repeated rows one."""
-    groups = ngram_join.jaccard_groups(docs)
+    """Of each group of near copies (0.8 of their 5-word shingles) the document of least id; of its repeated rows one."""
+    groups = ngram_join.jaccard_groups(docs, n=5, num=80, den=100)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"])).drop("_id")
     repeated = kept.where("_rows > 1").dropDuplicates(["doc_id", "text"])

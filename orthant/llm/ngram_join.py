@@ -2,6 +2,7 @@
 
 A document's set: its distinct 4-word shingles (lower-cased A-Z; words are runs of anything but space and
 \\t-\\r); of fewer words the whole sequence counts as one. Two documents link where 100 * |x & y| >= 85 * |x | y|.
+These are op3's values; jaccard_groups takes others as n, num and den.
 
 Method. Documents with equal sets are one class, whose links are its member's. Candidates come by the pigeonhole:
 sets that link differ in at most H elements, H following from their sizes, so of H + 1 parts into which a hash
@@ -103,23 +104,23 @@ def set_id(elements: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(np.int64))
 
 
-def needed(x: int, y) -> np.ndarray:
+def needed(x: int, y, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Least overlap of linked sets of these sizes."""
-    return -(-NUM * (x + y) // (NUM + DEN))
+    return -(-num * (x + y) // (num + den))
 
 
-def class_bounds(most: int) -> np.ndarray:
+def class_bounds(most: int, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Least size of each size class; a set links with its own class and the next ones up and down."""
     bounds = [1]
     while bounds[-1] <= most:
-        bounds.append(DEN * bounds[-1] // NUM + 1)
-    return np.array([*bounds, DEN * bounds[-1] // NUM + 1], np.int64)
+        bounds.append(den * bounds[-1] // num + 1)
+    return np.array([*bounds, den * bounds[-1] // num + 1], np.int64)
 
 
-def scheme(bounds: np.ndarray, k: int) -> tuple[int, int, int]:
+def scheme(bounds: np.ndarray, k: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int]:
     """For pairs whose smaller set is of class k: parts, most empty parts that are proven harmless, most differences."""
     low, y = int(bounds[k]), int(bounds[k + 1]) - 1
-    differ = (DEN - NUM) * (y + DEN * y // NUM) // (DEN + NUM)
+    differ = (den - num) * (y + den * y // num) // (den + num)
     spare = 1
     for _ in range(3):
         empty = (differ + 1 + spare) * np.exp(-low / (differ + 1 + spare))
@@ -127,18 +128,18 @@ def scheme(bounds: np.ndarray, k: int) -> tuple[int, int, int]:
     return differ + 1 + spare, spare, differ
 
 
-def parts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def parts(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """(hash, set number) of every part of every set that can link with another."""
     hashes, owners = [], []
     sizes = np.array([len(s) for s in sets], np.int64)
     if not len(sizes) or not sizes.max():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    bounds = class_bounds(int(sizes.max()))
+    bounds = class_bounds(int(sizes.max()), num, den)
     classes = np.searchsorted(bounds, sizes, "right") - 1
     flat = np.concatenate(sets)
     begins = np.cumsum(sizes) - sizes
     for down in (0, 1):
-        made = {int(k): scheme(bounds, int(k)) for k in np.unique(classes - down) if k >= 0}
+        made = {int(k): scheme(bounds, int(k), num, den) for k in np.unique(classes - down) if k >= 0}
         live = np.flatnonzero([s > 0 and made.get(k, (0, 0, 0))[2] > 0 for s, k in zip(sizes.tolist(), (classes - down).tolist())])
         seed = 0
         while len(live):
@@ -164,7 +165,7 @@ def parts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """Sets of small numbers (ascending) as paths of a tree whose unary chains are compressed."""
 
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray, num: int = NUM, den: int = DEN):
         ordered = sorted(range(len(members)), key=lambda i: sets[members[i]].tobytes())  # big-endian, so bytes sort as numbers do
         members = members[ordered]
         paths = [sets[m].astype(np.int64) for m in members]
@@ -205,6 +206,7 @@ class Trie:
         if last >= 0:
             parent[last] = 0
         self.members, self.sizes = members, sizes
+        self.num, self.den = num, den
         n = len(depth)
         slices = [np.empty(0, np.int64), *(paths[sample[v]][depth[parent[v]] : depth[v]] for v in range(1, n))]
         self.tokens = np.concatenate(slices)
@@ -224,7 +226,7 @@ class Trie:
     def probe(self, own: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Members that link with the set `own` (ascending numbers); held: a scratch mask, all False, over all numbers."""
         held[own] = True
-        size, found = len(own), []
+        size, found, num, den = len(own), [], self.num, self.den
         at = self.children[self.first_child[0] : self.first_child[1]]
         above = np.zeros(len(at), np.int64)
         while len(at):
@@ -235,12 +237,12 @@ class Trie:
             overlap = above + sums[ends] - sums[ends - lengths]
             last = self.tokens[self.stop[at] - 1]
             left = np.minimum(size - np.searchsorted(own, last, "right"), self.most[at] - self.depth[at])
-            live = (overlap + left >= needed(size, self.least[at])) & (self.most[at] * DEN >= NUM * size) & (self.least[at] * NUM <= DEN * size)
+            live = (overlap + left >= needed(size, self.least[at], num, den)) & (self.most[at] * den >= num * size) & (self.least[at] * num <= den * size)
             at, overlap = at[live], overlap[live]
             leaves = self.leaf[at]
             ended = leaves >= 0
             own_leaves = leaves[ended]
-            good = overlap[ended] >= needed(size, self.sizes[own_leaves])
+            good = overlap[ended] >= needed(size, self.sizes[own_leaves], num, den)
             found.append(own_leaves[good])
             counts = self.first_child[at + 1] - self.first_child[at]
             above = np.repeat(overlap, counts)
@@ -249,7 +251,7 @@ class Trie:
         return self.members[np.concatenate(found)] if found else np.empty(0, np.int64)
 
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], side: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
     """Links that join what the exact join's links join: within the sets, or from side 0 to side 1 only."""
     if len(sets) < 2:
         return []
@@ -281,7 +283,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
         if not len(left):
             continue
         if tries[g][0] is None or 2 * len(left) <= tries[g][1]:
-            tries[g] = [Trie(packed, left), len(left)]
+            tries[g] = [Trie(packed, left, num, den), len(left)]
         for y in tries[g][0].probe(own[x], held).tolist():
             if active[y]:
                 active[y] = False
@@ -296,13 +298,13 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_x"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], ["_k", "_x", "n", "set"])
 
 
-def _pack_parts(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _pack_parts(batches: Iterator[pa.RecordBatch], n: int, buckets: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for whole in text_chunks(batches, "_text", 3 << 20):
         for at in range(0, whole.num_rows, 65536):  # set numbers take 16 bits
             batch = whole.slice(at, 65536)
             sets = {set_id(s): s for s in shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)}
             ids = np.array(sorted(sets), np.int64)
-            hashes, owners = parts([sets[i] for i in ids.tolist()])
+            hashes, owners = parts([sets[i] for i in ids.tolist()], num, den)
             order = np.lexsort((owners, hashes))
             hashes, owners = hashes[order], owners[order]
             same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.empty(0, bool)
@@ -355,7 +357,7 @@ def _equal_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _join_groups(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by task -> links (a, b) of the exact join, as many as connect what it connects."""
     ids: list[int] = []
     texts: list[bytes] = []
@@ -365,9 +367,9 @@ def _join_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     def flush() -> None:
         _, one, other = current
         if one == other:
-            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n)))
+            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n), None, num, den))
         elif len(set(sides)) == 2:  # two blocks; their own tasks join what is within each
-            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n), np.array(sides, np.int64)))
+            found.extend((ids[a], ids[b]) for a, b in forest(shingle_sets(texts, n), np.array(sides, np.int64), num, den))
 
     for batch in batches:
         for group, one, other, side, ident, text in zip(*(batch.column(c).to_pylist() for c in ("group", "one", "other", "side", "set")), batch.column("_text").cast(pa.binary()).to_pylist()):
@@ -393,7 +395,7 @@ def _same_row(a: DataFrame, b: DataFrame):
     return a["_k"].eqNullSafe(b["_k"]) & (a["_x"] == b["_x"])
 
 
-def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (set, text, hubs of its group) -> links (a, b) of the set to hubs."""
     held: dict[int, np.ndarray] = {}
     for batch in text_chunks(batches, "_text"):
@@ -407,13 +409,13 @@ def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
                     held[h["hub"]] = shingle_sets([(h["text"] or "").encode("utf-8", "surrogatepass")], n)[0]
                 hub = held[h["hub"]]
                 overlap = len(np.intersect1d(own, hub, assume_unique=True))
-                if h["hub"] != ident and overlap >= needed(len(own), len(hub)):
+                if h["hub"] != ident and overlap >= needed(len(own), len(hub), num, den):
                     a.append(ident)
                     b.append(h["hub"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _hub_links(rows: DataFrame, large: DataFrame, n: int) -> DataFrame:
+def _hub_links(rows: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links of the members of large groups to HUBS members of each, picked by hashes: a row a member and hub at most."""
     picks = [F.min(F.struct(F.xxhash64("set", F.lit(i)).alias("h"), "set", "_k", "_x")).alias(f"h{i}") for i in range(HUBS)]
     hubs = large.groupBy("group").agg(*picks).select("group", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h")).select("group", F.col("h.set").alias("hub"), "h._k", "h._x").distinct()
@@ -421,7 +423,7 @@ def _hub_links(rows: DataFrame, large: DataFrame, n: int) -> DataFrame:
     texts = checkpoint(texts)
     size = texts.agg(F.sum(F.aggregate("hubs", F.lit(0).cast("long"), lambda t, h: t + F.octet_length(h["text"])))).first()[0] or 0
     placed = rows.join(large, _same_row(rows, large)).select("group", "set", "_text")
-    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n), "a bigint, b bigint")
+    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n, num, den), "a bigint, b bigint")
 
 
 def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
@@ -447,14 +449,16 @@ def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
     return placed.select("set", "group", "_k", "_x", F.when(F.col("_main"), back).otherwise(F.concat(inside, across)).alias("tasks")).where(F.size("tasks") > 0)
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK) -> DataFrame:
-    """key, n_shingles and component_id (the least key that links reach) of each row."""
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK, num: int = NUM, den: int = DEN) -> DataFrame:
+    """key, n_shingles and component_id (the least key that links of den * |x & y| >= num * |x | y| reach) of each row."""
+    if not 0 < num <= den or num * (num + den) <= den * den:  # small sets could differ in more elements than they have
+        raise ValueError(f"a threshold of {num} / {den} can't be joined by equal parts")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"))
     described = checkpoint(map_arrow(rows, lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set bigint"))
     total = described.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-int(0.4 * total) // BUCKET))
-    packed = map_arrow(rows, lambda it: _pack_parts(it, n, buckets), "bucket int, entries binary, sets binary")
+    buckets = max(1, -(-int(34 / 15 * (den - num) / num * total) // BUCKET))  # parts a shingle: 0.4 at 85 / 100
+    packed = map_arrow(rows, lambda it: _pack_parts(it, n, buckets, num, den), "bucket int, entries binary, sets binary")
     spread = packed.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("entries")).otherwise(F.lit(0))).repartition(max(buckets, 2), "bucket", "salt").sortWithinPartitions("bucket")
     loose = components(map_arrow(spread.drop("salt"), _equal_parts, "a bigint, b bigint"))
     loose = checkpoint(loose.select(F.col("node").alias("set"), F.col("component").alias("group")))
@@ -466,12 +470,12 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     hub_links = None
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        hub_links = checkpoint(_hub_links(rows, large, n))
+        hub_links = checkpoint(_hub_links(rows, large, n, num, den))
         tasks = tasks.unionByName(_block_tasks(large, components(hub_links), block))
     wanted = tasks.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", "tasks")).alias("tasks"))
     dealt = rows.join(wanted, _same_row(rows, wanted)).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
-    links = map_arrow(dealt, lambda it: _join_groups(it, n), "a bigint, b bigint")
+    links = map_arrow(dealt, lambda it: _join_groups(it, n, num, den), "a bigint, b bigint")
     links = links if hub_links is None else links.unionByName(hub_links)
     joined = components(links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))
