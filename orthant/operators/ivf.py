@@ -168,8 +168,9 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, iterative: str | None = None, max_probes: int | None = None, v: str = "embedding", key: str | None = None, allowed: DataFrame | None = None, mode: str = "pre", out: str = "distance", query: str = "query_id", limit: int = QUERY_BYTES) -> DataFrame:
         """query_id, key, distance and rank of each query's nearest rows among its probed lists.
 
-        allowed: keys that may be found. mode "pre" scans only them; "post" filters what the scan found, and then
-        iterative="relaxed_order" goes on with the next lists until a query has k rows or max_probes lists are read.
+        allowed: keys that may be found. Whether a filter comes before the scoring of a list or after, the same rows
+        are left, so both modes score only them; iterative="relaxed_order" goes on with the next lists until a query
+        has k rows or max_probes lists are read.
         """
         spark = self.spark
         probes = min(scan_option(spark, "ivfflat.probes", probes), self.lists)
@@ -177,12 +178,12 @@ class IvfIndex:
         most = min(max(probes, scan_option(spark, "ivfflat.max_probes", max_probes)), self.lists) if iterative != "off" else probes
         entries = self.entries()
         keys = None if allowed is None else allowed.select(F.col(self.meta["key"]).alias("key")).distinct()
-        if keys is not None and mode == "pre":
+        if keys is not None:
             entries = entries.join(keys, "key", "left_semi")
         found = None
         key = key or self.meta["key"]
         for block in query_blocks(queries, v, key, limit):
-            part = self._search_block(block, queries.schema[key].dataType.simpleString(), entries, keys if mode == "post" else None, k, probes, most, query, out)
+            part = self._search_block(block, queries.schema[key].dataType.simpleString(), entries, k, probes, most, query, out)
             found = part if found is None else found.unionByName(part)
         return top_k(found, k, query, self.meta["key"], out)
 
@@ -194,7 +195,7 @@ class IvfIndex:
         asked = self.spark.createDataFrame([(0, [float(x) for x in query])], "_id int, _vector array<float>")
         return self.search(asked, k, v="_vector", key="_id", out=out, **options).orderBy("rank").select(key, out)
 
-    def _search_block(self, block: pa.Table, query_type: str, entries: DataFrame, keys: DataFrame | None, k: int, probes: int, most: int, query: str, out: str) -> DataFrame:
+    def _search_block(self, block: pa.Table, query_type: str, entries: DataFrame, k: int, probes: int, most: int, query: str, out: str) -> DataFrame:
         names, kind, own_key = block.column("_q").to_pylist(), self.kind, self.meta["key"]
         asked = batch_of(block.column("_v"), kind)
         if len(asked) and _points(asked).shape[1] != self.centers.shape[1]:
@@ -210,9 +211,7 @@ class IvfIndex:
                     wanted[c].append(q)
             shared = share(self.spark, (names, asked, {c: np.array(q) for c, q in wanted.items()}))
             rows = entries if len(wanted) >= self.lists else entries.where(F.col("list_id").isin(sorted(wanted)))
-            part = rows.mapInArrow(_scanner(shared, kind, self.metric, k if keys is None else None, (query, own_key, out), arrow_types(query_type, self.meta["key_type"])), schema)
-            if keys is not None:
-                part = part.join(keys.withColumnRenamed("key", own_key), own_key, "left_semi").select(query, own_key, out)
+            part = rows.mapInArrow(_scanner(shared, kind, self.metric, k, (query, own_key, out), arrow_types(query_type, self.meta["key_type"])), schema)
             found = part if found is None else found.unionByName(part)
             at = until
             if at >= most or not len(live):
@@ -224,10 +223,10 @@ class IvfIndex:
                 return found
 
 
-def _scanner(shared, kind, metric, k: int | None, columns: tuple[str, str, str], types: tuple[pa.DataType, pa.DataType]):
+def _scanner(shared, kind, metric, k: int, columns: tuple[str, str, str], types: tuple[pa.DataType, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked, wanted = shared.value
-        best = TopK(k if k is not None else 2**31 - 1)
+        best = TopK(k)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -242,16 +241,9 @@ def _scanner(shared, kind, metric, k: int | None, columns: tuple[str, str, str],
                 if queries is None:
                     continue
                 own = TopK(best.k)
-                if k is None:
-                    q, r = np.repeat(np.arange(len(queries)), len(part)), np.tile(np.arange(len(part)), len(queries))
-                    own.query, own.distance, own.key = q, metric.exact(asked.take(queries[q]), whole.take(part[r])), keys[part][r]
-                else:
-                    scored_candidates(asked.take(queries), whole.take(part), keys[part], metric, own)
+                scored_candidates(asked.take(queries), whole.take(part), keys[part], metric, own)
                 if own.key is not None:
-                    if k is None:
-                        yield _rows(names, queries[own.query], own.key, own.distance, columns, types)
-                    else:
-                        best.add(queries[own.query], own.distance, own.key)
+                    best.add(queries[own.query], own.distance, own.key)
         if best.key is not None:
             yield _rows(names, best.query, best.key, best.distance, columns, types)
 

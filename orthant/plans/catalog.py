@@ -522,13 +522,15 @@ def ivf_bit_full_probe(spark, sf_dir):
 
 @query("ivf_probe")
 def ivf_probe(spark, sf_dir):
-    return IvfIndex.build(table(spark, sf_dir), lists=20, metric="cosine").search(_asked(spark, sf_dir), 10, probes=5)
+    """14 of 20 lists: the least recall measured on the given tables is over 0.9."""
+    return IvfIndex.build(table(spark, sf_dir), lists=20, metric="cosine").search(_asked(spark, sf_dir), 10, probes=14)
 
 
 @query("ivf_iterative")
 def ivf_iterative(spark, sf_dir):
+    """Starts with 16 of 20 lists, for a recall of over 0.9: it stops where ten rows pass the filter, not where they are the nearest."""
     index = IvfIndex.build(table(spark, sf_dir), lists=20)
-    return index.search(_asked(spark, sf_dir), 10, probes=2, iterative="relaxed_order", allowed=table(spark, sf_dir).where("label = 3"), mode="post")
+    return index.search(_asked(spark, sf_dir), 10, probes=16, iterative="relaxed_order", allowed=table(spark, sf_dir).where("label = 3"), mode="post")
 
 
 @query("ivf_prefiltered", "SELECT query_id, vec_id, distance, CAST(r AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, " + _DUCK["l2"]("b.embedding", "a.embedding") + " AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY " + _DUCK["l2"]("b.embedding", "a.embedding") + ", b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label = 3) WHERE r <= 10")
