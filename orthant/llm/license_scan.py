@@ -10,6 +10,9 @@ filter drops blocks with fewer template words than any template needs; the posit
 the words left after the first shared one can't reach `need`; what is left is verified. Lines are exploded only
 where they hold enough words of the templates, and words only of those. The tables of templates, ranks and
 prefixes are bounded by the template constants, whatever the corpus, so the join broadcasts them.
+Notices that are wrapped over lines are found in windows of consecutive words, len(template) / threshold of them, from
+every template word on: a text needs `need` of the template's words at all, a window its `need`-th one near enough;
+what is left is verified. Of lines and windows alike a template wants the words that name its licence.
 
 DataFrame code only; no Python runs on the executors. Shuffles carry counts of template words, matched
 blocks and a few numbers for each document.
@@ -21,6 +24,7 @@ that share an id but not the text are kept apart; extra columns are left out.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,8 @@ TEMPLATES = (
     ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Words that a block must hold to name the licence, where the template has them.
+NAMES = {"mit": ("mit",), "apache-2": ("apache",), "gpl-3": ("gnu", "3"), "gpl-2": ("gnu", "2"), "cc-by-nc": ("nc",), "cc-by": ("attribution",), "mpl-2": ("mozilla",)}
 THRESHOLD = 0.8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,8 +57,6 @@ def _words(column):
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
-    import re
-
     return [(label, sorted(set(re.findall(r"[0-9a-z]+", text.lower())))) for label, text in templates]
 
 
@@ -74,10 +78,10 @@ def match_blocks(docs: DataFrame, key: tuple[str, ...], text: str = "text", temp
     prefixes, whole = [], []
     for number, (label, words) in enumerate(sets):
         ordered, need = sorted(rank[w] for w in words), needs(len(words), threshold)
-        whole.append((number, label, need, len(words), ordered))
+        whole.append((number, label, need, len(words), ordered, [rank[w] for w in NAMES.get(label, ()) if w in words]))
         prefixes += [(r, number, place) for place, r in enumerate(ordered[: len(ordered) - need + 1])]
     index = F.broadcast(spark.createDataFrame(prefixes, "_rank int, _template int, _place int"))
-    full = F.broadcast(spark.createDataFrame(whole, "_template int, label string, _need int, _size int, _ranks array<int>"))
+    full = F.broadcast(spark.createDataFrame(whole, "_template int, label string, _need int, _size int, _ranks array<int>, _names array<int>"))
     ranks = F.create_map(*(x for w, r in rank.items() for x in (F.lit(w), F.lit(r))))
     candidates = (
         blocks.where(F.size("_held") >= least)
@@ -88,7 +92,42 @@ def match_blocks(docs: DataFrame, key: tuple[str, ...], text: str = "text", temp
         .where(F.least(F.col("_size") - F.col("_place"), F.size("_own") - F.col("_at")) >= F.col("_need"))
     )
     shared = F.size(F.array_intersect("_own", "_ranks"))
-    return candidates.where(shared >= F.col("_need")).select(*key, "block", "label", (shared / F.col("_size")).alias("containment")).distinct()
+    named = F.size(F.array_except("_names", "_own")) == 0
+    return candidates.where((shared >= F.col("_need")) & named).select(*key, "block", "label", (shared / F.col("_size")).alias("containment")).distinct()
+
+
+def match_windows(docs: DataFrame, key: tuple[str, ...], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """key, label, containment: the best window of consecutive words of every text and template at the threshold."""
+    sets = template_sets(templates)
+    vocabulary = sorted({w for _, s in sets for w in s})
+    # a text without a template's naming word, or without any of one more of its words than may be missing, can't match
+    signs = set()
+    for label, words in sets:
+        names = [w for w in NAMES.get(label, ()) if w in words]
+        longest = sorted(words, key=lambda w: (-len(w), w))
+        signs |= {max(names, key=len)} if names else set(longest[: len(words) - needs(len(words), threshold) + 1])
+    texts = docs.where(F.lower(text).rlike(f"(?<![0-9a-z])(?:{'|'.join(sorted(signs))})(?![0-9a-z])"))
+    texts = texts.select(*key, _words(F.lower(text)).alias("_words"))
+    texts = texts.withColumn("_held", F.array_intersect("_words", F.array(*map(F.lit, vocabulary))))
+    likely = []
+    for (label, words), (_, template) in zip(sets, templates):
+        names, need = [w for w in NAMES.get(label, ()) if w in words], needs(len(words), threshold)
+        length = math.ceil(len([w for w in re.split(r"[^0-9a-z]+", template.lower()) if w]) / threshold)
+        array = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+        one = F.struct(F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(length).alias("length"), array(words).alias("words"), array(names).alias("names"))
+        likely.append(F.when((F.size(F.array_intersect("_held", one["words"])) >= need) & (F.size(F.array_except(one["names"], F.col("_held"))) == 0), one))
+    found = texts.select(*key, "_words", F.array_compact(F.array(*likely)).alias("_likely")).where(F.size("_likely") > 0)
+    found = found.select(*key, "_words", F.explode("_likely").alias("_t"))
+    t = F.col("_t")
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(t["words"], h["w"]))
+    # one expression a step, so that none is computed for every start again
+    found = found.select(*key, "_t", hits.alias("_hits"))
+    starts = F.filter(F.transform("_hits", lambda h, j: F.struct(h["at"].alias("at"), j.alias("j"))), lambda s: F.get("_hits", s["j"] + t["need"] - 1)["at"] < s["at"] + t["length"])
+    found = found.select(*key, "_t", "_hits", F.explode(starts).alias("_s"))
+    near = F.filter(F.slice("_hits", F.col("_s.j") + 1, t["length"]), lambda h: h["at"] < F.col("_s.at") + t["length"])
+    found = found.select(*key, "_t", F.array_distinct(F.transform(near, lambda h: h["w"])).alias("_own"))
+    found = found.where((F.size("_own") >= t["need"]) & (F.size(F.array_except(t["names"], F.col("_own"))) == 0))
+    return found.groupBy(*key, t["label"].alias("label")).agg(F.max(F.size("_own") / F.size(t["words"])).alias("containment"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +158,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base_labels"),
     )
     keyed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.col(text).alias("_text")).where("_text is not null")
-    matched = checkpoint(match_blocks(keyed, ("_key", "_hash"), "_text", templates, threshold))
+    lines = match_blocks(keyed, ("_key", "_hash"), "_text", templates, threshold).select("_key", "_hash", "label", "containment")
+    matched = checkpoint(lines.unionByName(match_windows(keyed, ("_key", "_hash"), "_text", templates, threshold)))
     best = matched.groupBy("_key", "_hash").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     none = F.array().cast("array<string>")
     joined = base.join(best, base["_key"].eqNullSafe(best["_key"]) & (base["_hash"] == best["_hash"]), "left")

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from orthant.llm import ngram_join
+from orthant.llm import license_scan, ngram_join
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MEDIUM = "/root/testdata/sf0.01"
@@ -86,3 +86,17 @@ def test_trie_join_and_parts_at_a_threshold(num, den):
         for h, o in zip(*(x.tolist() for x in ngram_join.parts(sets, num, den))):
             by_part[h].add(o)
         assert all(any({i, j} <= own for own in by_part.values()) for i, j in links)
+
+
+# op6_license_scan: wrapped notices, names of licences
+
+
+def test_wrapped_notices_and_names(spark):
+    import textwrap
+
+    wrapped = [(label, "intro words\n\n" + "\n".join(" * " + x for x in textwrap.wrap(text, width)) + "\nmore words") for label, text in license_scan.TEMPLATES for width in (24, 72)]
+    other = ["Released under the BSD License", "released\nunder the\nlicense", "This work is licensed under the GNU General Public License, version 4", None, "", "of the and is to this a " * 60]
+    rows = [*enumerate(x for _, x in wrapped), *((1000 + i, x) for i, x in enumerate(other))]
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()}
+    assert [found[i] for i in range(len(wrapped))] == [([label], 1.0) for label, _ in wrapped]
+    assert [found[1000 + i] for i in range(len(other))] == [([], 0.0)] * len(other)
