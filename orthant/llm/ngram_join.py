@@ -4,13 +4,13 @@ A document's set: its distinct 4-word shingles (lower-cased A-Z; words are runs
 \\t-\\r); of fewer words the whole sequence counts as one. Two documents link where 100 * |x & y| >= 85 * |x | y|.
 These are op3's values; jaccard_groups takes others as n, num and den.
 
-Method. Documents with equal sets are one class, whose links are its member's. Candidates come by the pigeonhole:
-sets that link differ in at most H elements, H following from their sizes, so of H + 1 parts into which a hash
-deals the elements one at least is equal. Sizes fall into classes by the factor 100 / 85; a set's parts are
-dealt for its own class and for the one below, which covers every pair of sizes that can link. A part without
-elements proves nothing, so there are z parts more, and a set of which over z are empty is dealt again by other
-seeds until one serves it: of two sets that link, both are dealt by the seed that serves the first, with z + 1 equal
-parts, one of them not empty. Equal parts join sets into loose groups (components), almost all of real copies.
+Method. Documents with equal sets are one class, whose links are its member's. Candidates come by prefixes: of
+each set only the least hashes travel, a share of 2.5 times what linked sets may lack (half at 0.8). Of two sets
+that link, these parts have a known number of elements in common (`bounds_of`). An element's holders are counted in
+the bucket of its hash and told so; a set of which too few elements have another holder links with nothing and is
+done. Of the others each takes the elements that the fewest hold, as many as must contain a shared one, so passages
+that many documents share join nothing; sets with an equal one form loose groups (components), almost all of real
+copies.
 
 Each loose group is joined exactly by a prefix tree: elements in one global order (frequent first, so paths share
 beginnings), each set a path, unary chains compressed. A probe descends level by level with numpy, the overlap of a
@@ -18,12 +18,12 @@ shared beginning counted once; a subtree is left where the overlap so far and wh
 subtree's longest set can't reach the least overlap that its sizes need. A found set leaves the tree and probes in
 its turn, so a group of m copies costs about m short probes and yields m - 1 links, not m * m / 2.
 
-Scale: parts travel packed, 8 bytes each, in blobs dealt over as many buckets as the corpus needs; a task forwards
-a part's least set only, so a hot part costs an entry per task. In a loose group of over BLOCK elements every member
-is first held against HUBS members; what these join (nearly all of a group of near copies) needs no tests within,
-and the rest meets itself and the joined part block by block, each pair of blocks a task of bounded memory. Text
-travels once for the sets with candidates, once more in larger groups.
-Classes are told apart by 64-bit hashes of sets of 64-bit hashes.
+Scale: elements travel packed, 8 bytes each, in blobs dealt over as many buckets as the corpus needs; of an element
+that over HOLDERS sets of a chunk hold, one travels for all, so a hot one costs an entry a chunk. In a loose group of
+over BLOCK elements every member is first held against HUBS members; what these join (nearly all of a group of near
+copies) needs no tests within, and the rest meets itself and the joined part block by block, each pair of blocks a
+task of bounded memory. Text travels once for the sets with candidates; their keys are broadcast up to KEYS rows and
+joined by a shuffle beyond. Classes are told apart by 128-bit hashes of sets of 64-bit hashes.
 
 Edge cases: null and empty texts have an empty set, no links, and are their own component; repeated rows are a
 class; documents that share an id are told apart by their sets; extra columns are left out.
@@ -43,11 +43,15 @@ from .components import components
 
 N, NUM, DEN = 4, 85, 100
 #: Elements that one task of the tree join holds, for each of its two sides.
-BLOCK = 1_500_000
+BLOCK = 250_000
 #: Members of a larger group that all others are held against first, and the most that their texts may take to be broadcast.
 HUBS, HUB_BYTES = 4, 32 << 20
-#: Packed parts in a bucket, about.
-BUCKET = 2_000_000
+#: Packed elements in a bucket, about.
+BUCKET = 1_000_000
+#: Sets of a chunk that each send an element that they share; of more, one sends it for all.
+HOLDERS = 8
+#: Rows with candidates whose keys are broadcast; more are joined by a shuffle.
+KEYS = 250_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,10 +102,16 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     return sets
 
 
-def set_id(elements: np.ndarray) -> int:
+def set_class(elements: np.ndarray) -> bytes:
+    """128 bits that tell sets apart."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(np.int64))
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
+def short_ids(classes: list[bytes]) -> np.ndarray:
+    """The first 64 bits of classes, which name sets while candidates are looked for."""
+    return np.frombuffer(b"".join(c[:8] for c in classes), ">i8").astype(np.int64)
 
 
 def needed(x: int, y, num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -109,57 +119,22 @@ def needed(x: int, y, num: int = NUM, den: int = DEN) -> np.ndarray:
     return -(-num * (x + y) // (num + den))
 
 
-def class_bounds(most: int, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Least size of each size class; a set links with its own class and the next ones up and down."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(den * bounds[-1] // num + 1)
-    return np.array([*bounds, den * bounds[-1] // num + 1], np.int64)
+def bounds_of(size, num: int = NUM, den: int = DEN) -> tuple:
+    """For sets of these sizes: p, how many least hashes travel, and how many of these a set that links shares with the other's.
 
-
-def scheme(bounds: np.ndarray, k: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int]:
-    """For pairs whose smaller set is of class k: parts, most empty parts that are proven harmless, most differences."""
-    low, y = int(bounds[k]), int(bounds[k + 1]) - 1
-    differ = (den - num) * (y + den * y // num) // (den + num)
-    spare = 1
-    for _ in range(3):
-        empty = (differ + 1 + spare) * np.exp(-low / (differ + 1 + spare))
-        spare = max(1, int(np.ceil(empty + 2 * np.sqrt(empty))))
-    return differ + 1 + spare, spare, differ
+    Proof: size - p never falls as sizes grow. Say x is not larger than y, so they share num / den of y at least. Up
+    to the lesser of the two parts' last hashes the parts hold all that x and y share; above it stand size - p
+    elements of that part's set, so the parts share num / den * |y| - (size - p) of either at least.
+    """
+    size = np.asarray(size, np.int64)
+    p = np.clip(-(-5 * (den - num) * size // (2 * den)), np.minimum(1, size), size)
+    return p, p - size + -(-num * size // den)
 
 
-def parts(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, set number) of every part of every set that can link with another."""
-    hashes, owners = [], []
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if not len(sizes) or not sizes.max():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    bounds = class_bounds(int(sizes.max()), num, den)
-    classes = np.searchsorted(bounds, sizes, "right") - 1
-    flat = np.concatenate(sets)
-    begins = np.cumsum(sizes) - sizes
-    for down in (0, 1):
-        made = {int(k): scheme(bounds, int(k), num, den) for k in np.unique(classes - down) if k >= 0}
-        live = np.flatnonzero([s > 0 and made.get(k, (0, 0, 0))[2] > 0 for s, k in zip(sizes.tolist(), (classes - down).tolist())])
-        seed = 0
-        while len(live):
-            count = np.array([made[k][0] for k in (classes[live] - down).tolist()], np.int64)
-            spare = np.array([made[k][1] for k in (classes[live] - down).tolist()], np.int64)
-            values = mix(ragged_take(flat, begins[live], sizes[live]) + np.uint64((seed + 1) * 0x632BE59BD9B4E019 % 2**64))
-            base = np.cumsum(count) - count
-            owner = np.repeat(np.arange(len(live)), sizes[live])
-            cell = base[owner] + ((values >> np.uint64(32)).astype(np.int64) * count[owner] >> 32)
-            sums = np.zeros(int(count.sum()), np.uint64)
-            np.add.at(sums, cell, values)
-            full = np.bincount(cell, minlength=len(sums)) > 0
-            which = np.repeat(np.arange(len(live)), count)
-            number = np.arange(len(sums)) - base[which]
-            tag = (classes[live][which] - down).astype(np.uint64) * _ODD[3] + number.astype(np.uint64) * _ODD[4] + np.uint64(seed) * _ODD[5]
-            hashes.append(mix(sums + mix(tag))[full])
-            owners.append(live[which[full]])
-            empty = np.bincount(which[~full], minlength=len(live))
-            live, seed = live[empty > spare], seed + 1
-    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def names_of(bucket, low: np.ndarray, level) -> np.ndarray:
+    """One number for an element in every task: its level (about how many hold it) above, 60 bits of hash below."""
+    mixed = mix(low + (np.asarray(bucket).astype(np.uint64) + np.uint64(1)) * _ODD[4])
+    return (np.asarray(level).astype(np.uint64) << np.uint64(60)) | (mixed >> np.uint64(4))
 
 
 class Trie:
@@ -294,72 +269,166 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None = None, num: int = NU
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "_text"):
         sets = shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)
-        ids = [set_id(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_x"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], ["_k", "_x", "n", "set"])
-
-
-def _pack_parts(batches: Iterator[pa.RecordBatch], n: int, buckets: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for whole in text_chunks(batches, "_text", 3 << 20):
-        for at in range(0, whole.num_rows, 65536):  # set numbers take 16 bits
-            batch = whole.slice(at, 65536)
-            sets = {set_id(s): s for s in shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)}
-            ids = np.array(sorted(sets), np.int64)
-            hashes, owners = parts([sets[i] for i in ids.tolist()], num, den)
-            order = np.lexsort((owners, hashes))
-            hashes, owners = hashes[order], owners[order]
-            same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.empty(0, bool)
-            heads = np.flatnonzero(~same)
-            head = heads[np.cumsum(~same) - 1] if len(hashes) else heads
-            local = np.unique(np.stack([ids[owners[same]], ids[owners[head[same]]]], 1), axis=0) if same.any() else np.empty((0, 2), np.int64)
-            hashes, owners = hashes[heads], owners[heads]  # one entry a part; the links to it stay here
-            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            keys, blobs, tables = [-1], [local.astype("<i8").tobytes()], [b""]
-            for b in range(buckets):
-                h, o = hashes[edges[b] : edges[b + 1]], owners[edges[b] : edges[b + 1]]
-                if len(h):
-                    used, short = np.unique(o, return_inverse=True)
-                    keys.append(b)
-                    blobs.append((((h & np.uint64(2**48 - 1)) << np.uint64(16)) | short.astype(np.uint64)).astype("<u8").tobytes())
-                    tables.append(ids[used].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(tables, pa.binary())], ["bucket", "entries", "sets"])
-
-
-def _equal_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs sorted by bucket -> links (a, b) of sets with an equal part."""
-    held: list[tuple[bytes, bytes]] = []
-    current = None
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_x"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.binary())], ["_k", "_x", "n", "set"])
 
-    def flush() -> pa.RecordBatch:
-        if current == -1:
-            pairs = np.concatenate([np.frombuffer(e, "<i8").reshape(-1, 2) for e, _ in held])
-        else:
-            entries = [np.frombuffer(e, "<u8") for e, _ in held]
-            sets = np.concatenate([np.frombuffer(s, "<i8")[(e & np.uint64(0xFFFF)).astype(np.int64)] for e, (_, s) in zip(entries, held)])
-            keys = np.concatenate(entries) >> np.uint64(16)
-            order = np.argsort(keys, kind="stable")
-            keys, sets = keys[order], sets[order]
-            run = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            least = np.repeat(np.minimum.reduceat(sets, run), np.diff(np.concatenate([run, [len(sets)]])))
-            apart = sets != least
-            pairs = np.stack([sets[apart], least[apart]], 1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
+_PACKED = "bucket int, names binary, owners binary, sets binary, sizes binary"
+_LINKS = "a binary, b binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 4], ["bucket", "names", "owners", "sets", "sizes"])
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int, names: np.ndarray, owners: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """Rows of _PACKED; owners are places in ids and sizes."""
+    if (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket, kind="stable")
+        bucket, names, owners = bucket[order], names[order], owners[order]
+    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        used, short = np.unique(owners[at:end], return_inverse=True)
+        yield int(bucket[at]), names[at:end].astype("<u8").tobytes(), short.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()
+
+
+def _unpacked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """names, set ids and set sizes of rows of _PACKED."""
+    names = np.concatenate([np.frombuffer(r[0], "<u8") for r in held])
+    owners = [np.frombuffer(r[1], "<u4") for r in held]
+    return names, np.concatenate([np.frombuffer(r[2], "<i8")[o] for r, o in zip(held, owners)]), np.concatenate([np.frombuffer(r[3], "<i4")[o] for r, o in zip(held, owners)]).astype(np.int64)
+
+
+def _bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its rows) of rows of _PACKED sorted by bucket; rows of a negative bucket stand for themselves and come in portions."""
+    held: list[tuple] = []
+    current = None
     for batch in batches:
-        for bucket, entries, sets in zip(*(batch.column(c).to_pylist() for c in ("bucket", "entries", "sets"))):
-            if held and (bucket != current or current == -1 and len(held) >= 64):
-                yield flush()
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (bucket != current or bucket < 0 and len(held) >= 256):
+                yield current, held
                 held = []
             current = bucket
-            held.append((entries, sets))
+            held.append(tuple(row))
     if held:
-        yield flush()
+        yield current, held
+
+
+def _deal(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(ids.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+_LOW = np.uint64(2**62 - 1)
+
+
+def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, buckets: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The least hashes of every set, packed by bucket (bit 62: others of the chunk hold it); rows of bucket -1 are for the sets' own buckets."""
+    for batch in text_chunks(batches, "_text", 3 << 20):
+        sets = {set_class(s): s for s in shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n) if len(s)}
+        if not sets:
+            continue
+        ids, own = short_ids(list(sets)), list(sets.values())
+        sizes = np.array([len(s) for s in own], np.int64)
+        p = bounds_of(sizes, num, den)[0]
+        keys = mix(np.concatenate([s[:k] for s, k in zip(own, p.tolist())]) ^ _ODD[5])
+        owners = np.repeat(np.arange(len(own)), p)
+        order = np.argsort(keys)
+        keys, owners = keys[order], owners[order]
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.diff(np.concatenate([heads, [len(keys)]]))
+        hot = np.repeat(counts > HOLDERS, counts)
+        sent = ~hot
+        sent[heads] = True
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        flags = (keys & _LOW) | (hot.astype(np.uint64) << np.uint64(62))
+        rows = list(_by_bucket(bucket[sent], buckets, flags[sent], owners[sent], ids, sizes))
+        if hot.any():
+            told = names_of(bucket[hot], keys[hot] & _LOW, 15)
+            rows += [(-1, *r[1:]) for r in _by_bucket(np.zeros(len(told), np.int64), 1, told, owners[hot], ids, sizes)]
+        yield _packed(rows)
+
+
+def _count_holders(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Elements by their buckets -> those with another holder, by the buckets of their sets."""
+    for current, held in _bucket_runs(batches):
+        names, ids, sizes = _unpacked(held)
+        if current >= 0:
+            low = names & _LOW
+            order = np.argsort(low)
+            same = np.concatenate([[False], low[order[1:]] == low[order[:-1]], [False]])
+            order = order[same[1:] | same[:-1] | (names[order] != low[order])]  # most have one holder and no flag
+            low, ids, sizes, flag = low[order], ids[order], sizes[order], names[order] != low[order]
+            order = np.lexsort((ids, low))
+            low, ids, sizes, flag = low[order], ids[order], sizes[order], flag[order]
+            first = np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]
+            run = np.cumsum(first) - 1
+            hot = np.bincount(run, flag) > 0
+            fresh = first | np.concatenate([[True], ids[1:] != ids[:-1]])[: len(low)]
+            holders = np.bincount(run, fresh).astype(np.int64)
+            level = np.where(hot, 15, np.minimum(14, np.log2(np.maximum(holders, 1)).astype(np.int64)))
+            told = fresh & ((holders > 1) | hot)[run]
+            names, ids, sizes = names_of(np.full(int(told.sum()), current), low[told], level[run[told]]), ids[told], sizes[told]
+        used, at = np.unique(ids, return_index=True)
+        if len(used):
+            yield _packed(list(_by_bucket(_deal(ids, buckets), buckets, names, np.searchsorted(used, ids), used, sizes[at])))
+
+
+def _choose_elements(batches: Iterator[pa.RecordBatch], buckets: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """What sets share, by their buckets -> of each set the rarest elements that must hold a shared one, by element; of a task's sets with one only the least, linked (bucket -1)."""
+    for _, held in _bucket_runs(batches):
+        names, ids, sizes = _unpacked(held)
+        order = np.lexsort((names, ids))
+        names, ids, sizes = names[order], ids[order], sizes[order]
+        fresh = np.concatenate([[True], (names[1:] != names[:-1]) | (ids[1:] != ids[:-1])])  # copies tell the same
+        names, ids, sizes = names[fresh], ids[fresh], sizes[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(ids)]]))
+        p, common = bounds_of(sizes[starts], num, den)
+        wanted = (p - common + 1) - (p - counts)  # elements of one holder come first
+        chosen = np.arange(len(ids)) - np.repeat(starts, counts) < np.repeat(wanted, counts)
+        names, ids = names[chosen], ids[chosen]
+        if not len(ids):
+            continue
+        order = np.lexsort((ids, names))
+        names, ids = names[order], ids[order]
+        first = np.concatenate([[True], names[1:] != names[:-1]])
+        least = ids[first][np.cumsum(first) - 1]
+        pairs = np.unique(np.stack([ids[~first], least[~first]], 1), axis=0)
+        used, owners = np.unique(ids[first], return_inverse=True)
+        rows = list(_by_bucket(_deal(mix(names[first]), buckets), buckets, names[first], owners, used, np.zeros(len(used), np.int64)))
+        if len(pairs):
+            rows.append((-1, b"", b"", pairs.astype("<i8").tobytes(), b""))
+        yield _packed(rows)
+
+
+def _link_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements by their buckets -> links (a, b) of sets with an equal one."""
+    for current, held in _bucket_runs(batches):
+        if current < 0:
+            pairs = np.concatenate([np.frombuffer(r[2], "<i8").reshape(-1, 2) for r in held])
+        else:
+            names, ids, _ = _unpacked([(*r[:3], b"\0" * (len(r[2]) // 2)) for r in held])
+            order = np.lexsort((ids, names))
+            names, ids = names[order], ids[order]
+            first = np.concatenate([[True], names[1:] != names[:-1]])
+            least = ids[first][np.cumsum(first) - 1]
+            apart = ids != least
+            pairs = np.stack([ids[apart], least[apart]], 1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+
+def _loose_links(rows: DataFrame, n: int, buckets: int, num: int, den: int) -> DataFrame:
+    """Links (a, b), by short ids, that connect all sets that link with each other and few more."""
+    salted = lambda df: df.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("names", "sets")).otherwise(F.lit(0))).repartition(max(buckets, 2), "bucket", "salt").sortWithinPartitions("bucket").drop("salt")
+    sent = map_arrow(rows.select("_text"), lambda it: _pack_prefixes(it, n, buckets, num, den), _PACKED)
+    told = map_arrow(salted(sent), lambda it: _count_holders(it, buckets), _PACKED)
+    chosen = map_arrow(salted(told), lambda it: _choose_elements(it, buckets, num, den), _PACKED)
+    return map_arrow(salted(chosen), _link_holders, "a bigint, b bigint")
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by task -> links (a, b) of the exact join, as many as connect what it connects."""
-    ids: list[int] = []
+    ids: list[bytes] = []
     texts: list[bytes] = []
     sides: list[int] = []
     current, found = None, []
@@ -384,11 +453,11 @@ def _join_groups(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int)
             texts.append(text or b"")
             sides.append(side)
         if len(found) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
             found = []
     if ids:
         flush()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
 def _same_row(a: DataFrame, b: DataFrame):
@@ -397,7 +466,7 @@ def _same_row(a: DataFrame, b: DataFrame):
 
 def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (set, text, hubs of its group) -> links (a, b) of the set to hubs."""
-    held: dict[int, np.ndarray] = {}
+    held: dict[bytes, np.ndarray] = {}
     for batch in text_chunks(batches, "_text"):
         sets = shingle_sets([t or b"" for t in batch.column("_text").cast(pa.binary()).to_pylist()], n)
         a, b = [], []
@@ -412,7 +481,7 @@ def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -
                 if h["hub"] != ident and overlap >= needed(len(own), len(hub), num, den):
                     a.append(ident)
                     b.append(h["hub"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _hub_links(rows: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -423,7 +492,7 @@ def _hub_links(rows: DataFrame, large: DataFrame, n: int, num: int, den: int) ->
     texts = checkpoint(texts)
     size = texts.agg(F.sum(F.aggregate("hubs", F.lit(0).cast("long"), lambda t, h: t + F.octet_length(h["text"])))).first()[0] or 0
     placed = rows.join(large, _same_row(rows, large)).select("group", "set", "_text")
-    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n, num, den), "a bigint, b bigint")
+    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n, num, den), _LINKS)
 
 
 def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
@@ -451,21 +520,23 @@ def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, n_shingles and component_id (the least key that links of den * |x & y| >= num * |x | y| reach) of each row."""
-    if not 0 < num <= den or num * (num + den) <= den * den:  # small sets could differ in more elements than they have
-        raise ValueError(f"a threshold of {num} / {den} can't be joined by equal parts")
+    if not 0 < num <= den:
+        raise ValueError(f"{num} / {den} is no threshold")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"))
-    described = checkpoint(map_arrow(rows, lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set bigint"))
+    described = checkpoint(map_arrow(rows, lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set binary"))
     total = described.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-int(34 / 15 * (den - num) / num * total) // BUCKET))  # parts a shingle: 0.4 at 85 / 100
-    packed = map_arrow(rows, lambda it: _pack_parts(it, n, buckets, num, den), "bucket int, entries binary, sets binary")
-    spread = packed.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("entries")).otherwise(F.lit(0))).repartition(max(buckets, 2), "bucket", "salt").sortWithinPartitions("bucket")
-    loose = components(map_arrow(spread.drop("salt"), _equal_parts, "a bigint, b bigint"))
-    loose = checkpoint(loose.select(F.col("node").alias("set"), F.col("component").alias("group")))
+    buckets = max(1, -(-int(min(1.0, 2.5 * (den - num) / den) * total) // BUCKET))
+    loose = components(_loose_links(rows, n, buckets, num, den))
+    loose = loose.select(F.col("node").alias("short"), F.col("component").alias("group"))
     classes = described.where("n > 0").groupBy("set").agg(F.min(F.struct("_k", "_x")).alias("one"), F.min("n").alias("n"), F.min("_k").alias("least"))
-    members = classes.join(loose, "set").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x"))
-    sizes = loose.join(classes, "set").groupBy("group").agg((F.floor(F.sum("n") / F.lit(block)) + 1).cast("int").alias("blocks"))
-    members = checkpoint(members.join(sizes, "group"))
+    short = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint")
+    members = checkpoint(classes.withColumn("short", short).join(loose, "short").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x")))
+    sizes = members.groupBy("group").agg((F.floor(F.sum("n") / F.lit(block)) + 1).cast("int").alias("blocks"))
+    wanted = members.select("_k", "_x").distinct()
+    wanted = F.broadcast(wanted) if members.count() <= KEYS else wanted
+    rows = checkpoint(rows.join(wanted, _same_row(rows, wanted), "left_semi"))
+    members = members.join(sizes, "group")
     tasks = members.where("blocks = 1").select("set", "group", "_k", "_x", F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("other"), F.lit(0).alias("side"))).alias("tasks"))
     hub_links = None
     large = members.where("blocks > 1")
@@ -475,7 +546,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     wanted = tasks.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", "tasks")).alias("tasks"))
     dealt = rows.join(wanted, _same_row(rows, wanted)).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
-    links = map_arrow(dealt, lambda it: _join_groups(it, n, num, den), "a bigint, b bigint")
+    links = map_arrow(dealt, lambda it: _join_groups(it, n, num, den), _LINKS)
     links = links if hub_links is None else links.unionByName(hub_links)
     joined = components(links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))

@@ -131,7 +131,7 @@ def test_spans_are_cut(spark):
 # 3: n-gram Jaccard join
 
 
-def test_trie_join_and_parts():
+def test_trie_join_and_prefixes():
     rng, r = np.random.default_rng(0), random.Random(0)
     for _ in range(60):
         sets = []
@@ -148,11 +148,44 @@ def test_trie_join_and_parts():
         assert groups_of(len(sets), links) == groups_of(len(sets), ngram_join.forest(sets))
         side = rng.integers(0, 2, len(sets))
         assert groups_of(len(sets), [p for p in links if side[p[0]] != side[p[1]]]) == groups_of(len(sets), ngram_join.forest(sets, side))
-        hashes, owners = ngram_join.parts(sets)
-        by_part = defaultdict(set)
-        for h, o in zip(hashes.tolist(), owners.tolist()):
-            by_part[h].add(o)
-        assert all(any({i, j} <= own for own in by_part.values()) for i, j in links)
+        p, common = ngram_join.bounds_of([len(x) for x in sets])
+        assert (common >= 1).all() and all(len(np.intersect1d(sets[i][: p[i]], sets[j][: p[j]])) >= max(common[i], common[j]) for i, j in links)
+
+
+@pytest.mark.parametrize("num, den", [(4, 5), (85, 100), (1, 2), (1, 1)])
+def test_prefixes_of_linked_sets(num, den):
+    rng, r = np.random.default_rng(1), random.Random(1)
+    p, common = ngram_join.bounds_of(np.arange(1, 5000), num, den)
+    assert (np.diff(np.arange(1, 5000) - p) >= 0).all() and (common >= 1).all() and (common <= p).all()
+    for _ in range(2000):
+        both = rng.integers(0, 2**60, r.randrange(1, 200)).astype(np.uint64)
+        rest = [rng.integers(0, 2**60, r.randrange(0, len(both) // 2 + 1)).astype(np.uint64) for _ in range(2)]
+        x, y = (np.unique(np.concatenate([both, e])) for e in rest)
+        if den * len(both) >= num * (len(x) + len(y) - len(both)):
+            (p, q), common = ngram_join.bounds_of([len(x), len(y)], num, den)
+            assert len(np.intersect1d(x[:p], y[:q])) >= max(common)
+
+
+@pytest.mark.parametrize("holders", [ngram_join.HOLDERS, 1])
+def test_hot_elements_lose_no_link(spark, monkeypatch, holders):
+    """Groups of near copies that share a passage with each other; elements of more holders than one travel once."""
+    monkeypatch.setattr(ngram_join, "HOLDERS", holders)
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(100_000)}"
+    common, texts = [word() for _ in range(40)], []
+    for _ in range(30):
+        base = [word() for _ in range(60)] + common * r.randrange(2)
+        for _ in range(r.randrange(1, 6)):
+            own = list(base)
+            for _ in range(r.randrange(3)):
+                own[r.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    roots = groups_of(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (ngram_join.BLOCK, 150):
+        found = {x.doc_id: x.component_id for x in ngram_join.jaccard_groups(df, n=5, num=80, den=100, block=block).collect()}
+        assert [found[i] for i in range(len(texts))] == roots
 
 
 @pytest.mark.parametrize("block", [ngram_join.BLOCK, 200])
@@ -214,10 +247,44 @@ def test_repeats(spark, hot):
     assert [found[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 100)
 
 
+def brute_spans(texts, length, words):
+    """[first, last] of what repeats, where it holds so many words."""
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone, spans = np.zeros(len(t) + 2, bool), []
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i + 1 : i + length + 1] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int))).tolist()
+        out.append([(a, b - 1) for a, b in zip(edges[::2], edges[1::2]) if len(t[a:b].split()) >= words])
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_shorter_repeats_are_reported_and_words_counted(spark, hot):
+    r = random.Random(11)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "délta", "x"]) + str(r.randrange(50)) for _ in range(n))
+    shared = [words(n) for n in (9, 12, 15, 20, 30)]
+    texts = [words(r.randrange(0, 30)) + " ".join(r.sample(shared, r.randrange(3))) + words(r.randrange(0, 20)) for _ in range(80)]
+    texts += [texts[0], "abc" * 200, "", "z" * 130, shared[1], shared[1], shared[2] + "!", "lonely period of text, " * 30, "q" * 9000 + "r"]
+    raw = [t.encode() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {x.doc_id: x for x in suffix_dedup.remove_repeats(df, length=120, gram=32, hot=hot, report=(70, 10)).collect()}
+    as_pairs = lambda spans: [(s["first"], s["last"]) for s in spans]
+    assert [as_pairs(found[i].spans) for i in range(len(texts))] == brute_spans(raw, 120, 0)
+    assert [as_pairs(found[i].repeats) for i in range(len(texts))] == brute_spans(raw, 70, 10)
+    assert [bytes(found[i].kept) for i in range(len(texts))] == brute_repeats(raw, 120)
+    few = {x.doc_id: as_pairs(x.spans) for x in suffix_dedup.remove_repeats(df, length=70, gram=32, hot=hot, least_words=10).collect()}
+    assert [few[i] for i in range(len(texts))] == brute_spans(raw, 70, 10)
+
+
 def test_repeats_of_documents(spark, docs):
     found = {r.doc_id: r for r in QUERIES["op5_suffix_dedup"](spark, SMALL).collect()}
     for i, kept, text in zip(docs.doc_id, brute_repeats([t.encode() for t in docs.text], 400), docs.text):
         assert (found[i].n_bytes, found[i].n_removed, found[i].kept_sha256) == (len(text.encode()), len(text.encode()) - len(kept), hashlib.sha256(kept).hexdigest())
+    for i, spans in zip(docs.doc_id, brute_spans([t.encode() for t in docs.text], suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_WORDS)):
+        assert found[i].n_passage_bytes == sum(b - a + 1 for a, b in spans)
 
 
 # 1: quality rules

@@ -65,7 +65,7 @@ def test_near_copies_of_the_pipeline(spark):
 
 
 @pytest.mark.parametrize("num, den", [(80, 100), (95, 100)])
-def test_trie_join_and_parts_at_a_threshold(num, den):
+def test_trie_join_and_prefixes_at_a_threshold(num, den):
     rng, r = np.random.default_rng(0), random.Random(0)
     for _ in range(30):
         sets = []
@@ -82,10 +82,8 @@ def test_trie_join_and_parts_at_a_threshold(num, den):
         assert groups_of(len(sets), links) == groups_of(len(sets), ngram_join.forest(sets, None, num, den))
         side = rng.integers(0, 2, len(sets))
         assert groups_of(len(sets), [p for p in links if side[p[0]] != side[p[1]]]) == groups_of(len(sets), ngram_join.forest(sets, side, num, den))
-        by_part = defaultdict(set)
-        for h, o in zip(*(x.tolist() for x in ngram_join.parts(sets, num, den))):
-            by_part[h].add(o)
-        assert all(any({i, j} <= own for own in by_part.values()) for i, j in links)
+        p, common = ngram_join.bounds_of([len(x) for x in sets], num, den)
+        assert all(len(np.intersect1d(sets[i][: p[i]], sets[j][: p[j]])) >= max(common[i], common[j]) for i, j in links)
 
 
 # op6_license_scan: wrapped notices, names of licences
