@@ -23,6 +23,11 @@ class Shared:
             self._value = cloudpickle.loads(self._data.value)
         return self._value
 
+    def drop(self) -> None:
+        """Gives the value's memory back; it is loaded again when it is asked for."""
+        self._value = None
+        self._data.__dict__.pop("_value", None)
+
 
 def share(spark: SparkSession, value: object) -> Shared:
     return Shared(spark, value)
