@@ -9,13 +9,15 @@ of fewer words count as one window of their own length. Covered words form spans
 Words that no item has, and neighbours that stand side by side in no item, end every match, so only
 runs of known neighbours at least as long as the shortest window stream through the automaton.
 
-Scale: no shuffle. Benchmark items come to the driver in blocks of at most BLOCK_BYTES of text; each
-block's automaton is broadcast and one more map over the documents is chained, so a benchmark of any
-size keeps to the same memory.
+Scale: no shuffle, and one map over the documents. Benchmark items come to the driver in blocks of at most
+BLOCK_BYTES of text; each block's automaton is broadcast. A task with several blocks holds GROUP_BYTES of
+texts and one automaton at a time, which it loads anew for every group, so a benchmark of any size keeps to
+the same memory and a load is paid by much text.
 
 Edge cases: null or empty texts have no words, no hits and are not contaminated; items without words,
 with a null text or a null id are ignored; repeated item ids count once; repeated documents are
-judged each for itself; other columns pass through, but for those that carry the results' names.
+judged each for itself; other columns pass through: find_hits leaves out those that carry its results' names,
+decontaminate none.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from ._util import map_arrow, table, text_chunks
 WINDOW = 13
 #: Benchmark text in one automaton, in bytes; a single longer item has one of its own.
 BLOCK_BYTES = 1 << 20
+#: Text that a task holds while it goes through several automata.
+GROUP_BYTES = 16 << 20
 _PAIR_BITS = 22
 #: A-Z become a-z; bytes of no word become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -191,41 +195,24 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words in windows), hit_items (sorted ids) and hit_spans (word spans, both ends in)."""
-    for number, automaton in enumerate(automata(benchmark, item_id, item_text, window, block_bytes)):
-        docs = _scan(docs, share(docs.sparkSession, automaton), text, number > 0)
-    return docs
-
-
-def _scan(docs: DataFrame, shared, text: str, again: bool) -> DataFrame:
+    blocks = [share(docs.sparkSession, automaton) for automaton in automata(benchmark, item_id, item_text, window, block_bytes)]
     kept = [f for f in docs.schema if f.name not in _RESULT]
-    read = [*kept, *(f for f in docs.schema if again and f.name in _RESULT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for batch in text_chunks(batches, text):
-            texts = [words(t) if t else [] for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            ids = automaton.code(texts)
-            bounds = np.cumsum([len(t) + 1 for t in texts])
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            found: list[set[str]] = [set() for _ in texts]
-            if again:
-                for i, (s, items) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())):
-                    spans[i] += [(x["first"], x["last"]) for x in s]
-                    found[i] |= set(items)
-            for start, end in automaton.runs(ids):
-                doc = int(np.searchsorted(bounds, start, "right"))
-                base = start - (int(bounds[doc - 1]) if doc else 0)
-                for at, size, items in automaton.stream(ids[start:end].tolist()):
-                    last, first = base + at, base + at - size + 1
-                    own = spans[doc]
-                    if own and own[-1][0] <= first <= own[-1][1] + 1:
-                        own[-1] = (own[-1][0], max(last, own[-1][1]))
-                    else:
-                        own.append((first, last))
-                    found[doc] |= items
+        for batch in text_chunks(batches, text) if len(blocks) == 1 else _groups(batches):
+            sizes, spans, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)], [set() for _ in range(batch.num_rows)]
+            for shared in blocks:
+                at = 0
+                for part in text_chunks([batch], text):
+                    texts = [words(t) if t else [] for t in part.column(text).cast(pa.binary()).to_pylist()]
+                    sizes[at : at + len(texts)] = [len(t) for t in texts]
+                    _find(shared.value, texts, spans[at : at + len(texts)], found[at : at + len(texts)])
+                    at += len(texts)
+                if len(blocks) > 1:
+                    shared.drop()
             merged = [_merged(s) for s in spans]
             results = [
-                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array(sizes),
                 pa.array([sum(b - a + 1 for a, b in s) for s in merged], pa.int64()),
                 pa.array([sorted(f) for f in found], pa.list_(pa.string())),
                 pa.array([[{"first": a, "last": b} for a, b in s] for s in merged], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
@@ -233,7 +220,37 @@ def _scan(docs: DataFrame, shared, text: str, again: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *results], [*(f.name for f in kept), *_RESULT])
 
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in _RESULT.items())])
-    return map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in read)), run, schema)
+    return map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in kept)), run, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GROUP_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= GROUP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _find(automaton: Automaton, texts: list[list[bytes]], spans: list[list[tuple[int, int]]], found: list[set[str]]) -> None:
+    """Adds to each text's spans and items what the automaton finds."""
+    ids = automaton.code(texts)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    for start, end in automaton.runs(ids):
+        doc = int(np.searchsorted(bounds, start, "right"))
+        base = start - (int(bounds[doc - 1]) if doc else 0)
+        for at, size, items in automaton.stream(ids[start:end].tolist()):
+            last, first = base + at, base + at - size + 1
+            own = spans[doc]
+            if own and own[-1][0] <= first <= own[-1][1] + 1:
+                own[-1] = (own[-1][0], max(last, own[-1][1]))
+            else:
+                own.append((first, last))
+            found[doc] |= items
 
 
 def cut_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -260,9 +277,10 @@ def cut_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_covered: float = 0.5) -> DataFrame:
     """docs without hit spans; a document of which more than most_covered is hit goes. Columns as in docs."""
-    hits = find_hits(docs, benchmark, text, window=window)
+    rows = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_row"))
+    hits = find_hits(rows, benchmark, "_text", window=window)
     left = hits.where((F.col("n_hit") == 0) | (F.col("n_hit") <= most_covered * F.col("n_words")))
-    return cut_spans(left, text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return cut_spans(left, "_text").select(*((F.col("_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
