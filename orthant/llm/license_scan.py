@@ -14,8 +14,9 @@ Notices that are wrapped over lines are found in windows of consecutive words, l
 every template word on: a text needs `need` of the template's words at all, a window its `need`-th one near enough;
 what is left is verified. Of lines and windows alike a template wants the words that name its licence.
 
-DataFrame code only; no Python runs on the executors. Shuffles carry counts of template words, matched
-blocks and a few numbers for each document.
+DataFrame code only; no Python runs on the executors. One pass lowers A-Z and splits the texts; a checkpoint keeps their
+numbers, the lines that hold enough template words, and the words of texts in which a template's words stand at all.
+Shuffles carry counts of template words, matched blocks and a few numbers for each document.
 
 Edge cases: a null text is empty: no words, no labels, score 0; repeated rows each get their results; documents
 that share an id but not the text are kept apart; extra columns are left out.
@@ -29,7 +30,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import checkpoint, table
+from ._util import checkpoint, lower_ascii, table
 
 #: Phrase -> label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -64,16 +65,13 @@ def needs(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def match_blocks(docs: DataFrame, key: tuple[str, ...], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, block (line number from 0), label, containment: every line and template at the threshold."""
-    spark = docs.sparkSession
+def _match_lines(made: DataFrame, templates, threshold: float) -> DataFrame:
+    """_key, _hash, label, containment: every line and template at the threshold."""
+    spark = made.sparkSession
     sets = template_sets(templates)
     vocabulary = sorted({w for _, s in sets for w in s})
-    least = min(needs(len(s), threshold) for _, s in sets)
-    held = F.array(*map(F.lit, vocabulary))
-    lines = docs.select(*key, F.posexplode(F.split(F.lower(text), "\n")).alias("block", "_line"))
-    blocks = lines.select(*key, "block", F.array_intersect(_words(F.col("_line")), held).alias("_held")).where(F.size("_held") >= 1)
-    frequency = {r.w: r.n for r in blocks.select(F.explode("_held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
+    blocks = made.select("_key", "_hash", F.explode("_lines").alias("_line")).select("_key", "_hash", "_line.block", "_line.held")
+    frequency = {r.w: r.n for r in blocks.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     prefixes, whole = [], []
     for number, (label, words) in enumerate(sets):
@@ -84,56 +82,55 @@ def match_blocks(docs: DataFrame, key: tuple[str, ...], text: str = "text", temp
     full = F.broadcast(spark.createDataFrame(whole, "_template int, label string, _need int, _size int, _ranks array<int>, _names array<int>"))
     ranks = F.create_map(*(x for w, r in rank.items() for x in (F.lit(w), F.lit(r))))
     candidates = (
-        blocks.where(F.size("_held") >= least)
-        .select(*key, "block", F.sort_array(F.transform("_held", lambda w: ranks[w])).alias("_own"))
-        .select(*key, "block", "_own", F.posexplode("_own").alias("_at", "_rank"))
+        blocks.select("_key", "_hash", "block", F.sort_array(F.transform("held", lambda w: ranks[w])).alias("_own"))
+        .select("_key", "_hash", "block", "_own", F.posexplode("_own").alias("_at", "_rank"))
         .join(index, "_rank")
         .join(full, "_template")
         .where(F.least(F.col("_size") - F.col("_place"), F.size("_own") - F.col("_at")) >= F.col("_need"))
     )
     shared = F.size(F.array_intersect("_own", "_ranks"))
     named = F.size(F.array_except("_names", "_own")) == 0
-    return candidates.where((shared >= F.col("_need")) & named).select(*key, "block", "label", (shared / F.col("_size")).alias("containment")).distinct()
+    return candidates.where((shared >= F.col("_need")) & named).select("_key", "_hash", "label", (shared / F.col("_size")).alias("containment")).distinct()
 
 
-def match_windows(docs: DataFrame, key: tuple[str, ...], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """key, label, containment: the best window of consecutive words of every text and template at the threshold."""
-    sets = template_sets(templates)
-    vocabulary = sorted({w for _, s in sets for w in s})
-    # a text without a template's naming word, or without any of one more of its words than may be missing, can't match
-    signs = set()
-    for label, words in sets:
-        names = [w for w in NAMES.get(label, ()) if w in words]
-        longest = sorted(words, key=lambda w: (-len(w), w))
-        signs |= {max(names, key=len)} if names else set(longest[: len(words) - needs(len(words), threshold) + 1])
-    texts = docs.where(F.lower(text).rlike(f"(?<![0-9a-z])(?:{'|'.join(sorted(signs))})(?![0-9a-z])"))
-    texts = texts.select(*key, _words(F.lower(text)).alias("_words"))
-    texts = texts.withColumn("_held", F.array_intersect("_words", F.array(*map(F.lit, vocabulary))))
+def _likely_templates(held, templates, threshold: float):
+    """The templates of which a text with these words can hold a window."""
     likely = []
-    for (label, words), (_, template) in zip(sets, templates):
+    array = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    for (label, words), (_, template) in zip(template_sets(templates), templates):
         names, need = [w for w in NAMES.get(label, ()) if w in words], needs(len(words), threshold)
         length = math.ceil(len([w for w in re.split(r"[^0-9a-z]+", template.lower()) if w]) / threshold)
-        array = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
         one = F.struct(F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(length).alias("length"), array(words).alias("words"), array(names).alias("names"))
-        likely.append(F.when((F.size(F.array_intersect("_held", one["words"])) >= need) & (F.size(F.array_except(one["names"], F.col("_held"))) == 0), one))
-    found = texts.select(*key, "_words", F.array_compact(F.array(*likely)).alias("_likely")).where(F.size("_likely") > 0)
-    found = found.select(*key, "_words", F.explode("_likely").alias("_t"))
+        likely.append(F.when((F.size(F.array_intersect(held, one["words"])) >= need) & (F.size(F.array_except(one["names"], held)) == 0), one))
+    return F.array_compact(F.array(*likely))
+
+
+def _match_windows(made: DataFrame) -> DataFrame:
+    """_key, _hash, label, containment: the best window of consecutive words of every text and template at the threshold."""
+    found = made.where(F.size("_likely") > 0).select("_key", "_hash", "_words", F.explode("_likely").alias("_t"))
     t = F.col("_t")
     hits = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(t["words"], h["w"]))
     # one expression a step, so that none is computed for every start again
-    found = found.select(*key, "_t", hits.alias("_hits"))
+    found = found.select("_key", "_hash", "_t", hits.alias("_hits"))
     starts = F.filter(F.transform("_hits", lambda h, j: F.struct(h["at"].alias("at"), j.alias("j"))), lambda s: F.get("_hits", s["j"] + t["need"] - 1)["at"] < s["at"] + t["length"])
-    found = found.select(*key, "_t", "_hits", F.explode(starts).alias("_s"))
+    found = found.select("_key", "_hash", "_t", "_hits", F.explode(starts).alias("_s"))
     near = F.filter(F.slice("_hits", F.col("_s.j") + 1, t["length"]), lambda h: h["at"] < F.col("_s.at") + t["length"])
-    found = found.select(*key, "_t", F.array_distinct(F.transform(near, lambda h: h["w"])).alias("_own"))
+    found = found.select("_key", "_hash", "_t", F.array_distinct(F.transform(near, lambda h: h["w"])).alias("_own"))
     found = found.where((F.size("_own") >= t["need"]) & (F.size(F.array_except(t["names"], F.col("_own"))) == 0))
-    return found.groupBy(*key, t["label"].alias("label")).agg(F.max(F.size("_own") / F.size(t["words"])).alias("containment"))
+    return found.groupBy("_key", "_hash", t["label"].alias("label")).agg(F.max(F.size("_own") / F.size(t["words"])).alias("containment"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels and labels (arrays, sorted) and score of each document."""
-    step = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    step = step.withColumn("_words", _words(F.lower("_text")))
+    sets = template_sets(templates)
+    vocabulary = sorted({w for _, s in sets for w in s})
+    least = min(needs(len(s), threshold) for _, s in sets)
+    body = F.coalesce(F.col(text), F.lit(""))
+    step = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_hash"), F.transform(F.split(lower_ascii(body), "\n"), _words).alias("_by_line"))
+    known = F.array(*map(F.lit, vocabulary))
+    lines = F.filter(F.transform("_by_line", lambda w, i: F.struct(i.alias("block"), F.array_intersect(w, known).alias("held"))), lambda x: F.size(x["held"]) >= least)
+    step = step.select("_key", "_hash", F.flatten("_by_line").alias("_words"), lines.alias("_lines"))
+    step = step.withColumn("_held", F.array_intersect("_words", known))
     rare = [[w for w in p.split() if len(w) > 3] or p.split() for p in phrases]
     likely = F.lit(False)
     for words in rare:
@@ -141,8 +138,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         for w in words:
             every = every & F.array_contains("_words", w)
         likely = likely | every
-    step = step.withColumn("_joined", F.when(likely, F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))))
-    found = step.select("_key", "_hash", F.size("_words").cast("long").alias("n_words"), *(F.split("_joined", " " + p.replace(" ", "  ") + " ").alias(f"_p{i}") for i, p in enumerate(phrases)))
+    step = step.withColumn("_joined", F.when(likely, F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))).withColumn("_likely", _likely_templates(F.col("_held"), templates, threshold))
+    found = step.select("_key", "_hash", "_lines", "_likely", F.when(F.size("_likely") > 0, F.col("_words")).alias("_words"), F.size("_words").cast("long").alias("n_words"), *(F.split("_joined", " " + p.replace(" ", "  ") + " ").alias(f"_p{i}") for i, p in enumerate(phrases)))
     size = lambda part: F.when(F.btrim(part) == "", F.lit(0)).otherwise(F.size(F.split(F.btrim(part), "  ")))
     places, firsts, lasts, labels = F.lit(0), [], [], []
     for i, (phrase, label) in enumerate(phrases.items()):
@@ -152,19 +149,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         firsts.append(F.when(here, size(F.get(parts, F.lit(0)))))
         lasts.append(F.when(here, F.col("n_words") - size(F.element_at(parts, -1)) - len(phrase.split())))
         labels.append(F.when(here, F.lit(label)))
-    base = found.select(
-        "_key", "_hash", "n_words", places.cast("long").alias("n_base"),
+    made = checkpoint(found.select(
+        "_key", "_hash", "_lines", "_likely", "_words", "n_words", places.cast("long").alias("n_base"),
         F.array_min(F.array(*firsts)).cast("long").alias("first_word"), F.array_max(F.array(*lasts)).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base_labels"),
-    )
-    keyed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.col(text).alias("_text")).where("_text is not null")
-    lines = match_blocks(keyed, ("_key", "_hash"), "_text", templates, threshold).select("_key", "_hash", "label", "containment")
-    matched = checkpoint(lines.unionByName(match_windows(keyed, ("_key", "_hash"), "_text", templates, threshold)))
+    ))
+    matched = checkpoint(_match_lines(made, templates, threshold).unionByName(_match_windows(made)))
     best = matched.groupBy("_key", "_hash").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     none = F.array().cast("array<string>")
-    joined = base.join(best, base["_key"].eqNullSafe(best["_key"]) & (base["_hash"] == best["_hash"]), "left")
+    joined = made.join(best, made["_key"].eqNullSafe(best["_key"]) & (made["_hash"] == best["_hash"]), "left")
     return joined.select(
-        base["_key"].alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels",
+        made["_key"].alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels",
         F.array_sort(F.array_union("base_labels", F.coalesce("_more", none))).alias("labels"),
         F.greatest(F.coalesce("_best", F.lit(0.0)), (F.col("n_base") > 0).cast("double")).alias("score"),
     )
@@ -182,10 +177,10 @@ def _oracle() -> str:
     return f"""
 WITH t(label, need, words) AS (VALUES {rows}),
 ph(label, ws) AS (VALUES {phrases}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {pattern}) AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {pattern}) AS w FROM documents),
 pl AS (SELECT doc_id, label, p FROM (SELECT doc_id, label, w, ws, unnest(range(1, len(w) - len(ws) + 2)) AS p FROM d, ph WHERE len(w) >= len(ws) AND list_has_all(w, ws)) WHERE w[p : p + len(ws) - 1] = ws),
 b AS (SELECT doc_id, count(*) AS n_base, min(p) - 1 AS first_word, max(p) - 1 AS last_word, list(DISTINCT label) AS ls FROM pl GROUP BY doc_id),
-l AS (SELECT doc_id, regexp_extract_all(x, {pattern}) AS w FROM (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS x FROM documents)),
+l AS (SELECT doc_id, regexp_extract_all(x, {pattern}) AS w FROM (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS x FROM documents)),
 m AS (SELECT doc_id, label, len(list_intersect(list_distinct(l.w), words)) / len(words) AS c FROM l, t WHERE len(list_intersect(list_distinct(l.w), words)) >= need),
 g AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
