@@ -12,11 +12,15 @@ and adjacent common prefixes of `length` bytes mark repeated windows. An anchor
 contexts (a passage inside very many texts) goes by the hashes of its windows instead, counted with partial sums,
 so that no group comes to one task.
 
-Scale: three shuffles of about one small row for each 170 bytes of text (anchors), and two joins of the texts on
-their key, which share one exchange. Anchors are checkpointed in the shared folder.
+Shorter repeats can be reported beside (`report`): anchors are then those of the shorter windows, contexts reach on for
+the longer ones, and one sort finds both by the same common prefixes.
+
+Scale: three shuffles of about one small row for each 170 bytes of text (anchors; each 110 where repeats of 250 are
+looked for), and two joins of the texts on their key, which share one exchange. Contexts are checkpointed in the
+shared folder, 18 bytes each.
 
 Edge cases: a null text is empty; texts below `length` bytes keep all; repeated rows count as several texts, so
-each loses what is `length` long; texts that share a key are told apart by their hash; extra columns are left out.
+each loses what is `length` long; spans of fewer words than `least_words` stay; texts that share a key are told apart by their hash; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -32,12 +36,16 @@ from ._util import checkpoint, map_arrow, ragged_take, table, text_chunks
 
 LENGTH = 400
 GRAM = 64
+#: Repeats that op5 reports beside: bytes and words (runs of anything but space and \\t-\\r) at least; and their anchors' grams.
+PASSAGE, PASSAGE_WORDS, PASSAGE_GRAM = 250, 50, 32
 #: Distinct contexts of an anchor that one task sorts.
 HOT = 1000
 #: Windows in one context; longer ones, of periodic text, are cut.
 LONGEST = 4096
 #: Bytes of contexts that are sorted at a time, and of texts hashed at a time.
-SORTED_BYTES, HASHED_BYTES = 256 << 10, 2 << 20
+SORTED_BYTES, HASHED_BYTES = 256 << 10, 1 << 20
+#: Suffixes that agree so far and whose bytes are copied to sort them.
+COPIED = 30_000
 #: Low bits of a packed hash that hold the place; a longer text is cut into overlapping tiles.
 _PLACE_BITS = 26
 
@@ -95,6 +103,26 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
 
+def sort_directly(text: bytes, places: np.ndarray, depth: int, at: int = 0) -> np.ndarray:
+    """Places whose suffixes agree on `at` bytes, in the order of their first `depth`.
+
+    Eight bytes at a time as numbers; what still agrees is sorted by its bytes where it is little enough to copy them.
+    """
+    if len(places) <= COPIED and at:
+        return np.array(sorted(places.tolist(), key=lambda i: text[i + at : i + depth]), np.int64)
+    if at >= depth or len(places) < 2:
+        return places
+    padded = np.frombuffer(text + b"\0" * (at + 8), np.uint8)
+    keys = np.ndarray((len(text) + 1,), ">u8", padded.data, offset=at, strides=(1,))[places].astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    places, keys = places[order], keys[order]
+    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    equal = np.flatnonzero(np.diff(cuts) > 1)
+    for a, b in zip(cuts[equal].tolist(), cuts[equal + 1].tolist()):
+        places[a:b] = sort_directly(text, places[a:b], depth, at + 8)
+    return places
+
+
 def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
     """Suffixes of text in the order of their first `depth` bytes at least; the end counts as the least byte."""
     t = np.frombuffer(text, np.uint8)
@@ -108,9 +136,7 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
     within = at < n - 1
     small[within] = t[at[within]] < t[at[within] + 1]
     direct = np.flatnonzero(small)
-    keys = [text[i : i + depth] for i in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else direct
-    del keys
+    direct = sort_directly(text, direct, depth)
     cuts = np.searchsorted(t[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[t[n - 1]].append(np.array([n - 1]))
@@ -156,24 +182,29 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
     return out
 
 
-def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context the starts of its windows that also start elsewhere among the contexts."""
-    text = b"\xff".join(contexts) + b"\xff" * (length + 1)
+def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LENGTH, longer: int | None = None) -> list[list[np.ndarray]]:
+    """For `length` and `longer` each, and for each context, the starts below its windows that also start elsewhere among the contexts."""
+    longer = longer or length
+    text = b"\xff".join(contexts) + b"\xff" * (longer + 1)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    order = two_stage_suffix_array(text, length)
+    order = two_stage_suffix_array(text, longer)
     owner = np.searchsorted(begins, order, "right") - 1
-    inside = order + length <= begins[owner] + sizes[owner]
+    inside = order - begins[owner] < np.array(windows, np.int64)[owner]  # what reaches on starts in another context
     order, owner = order[inside], owner[inside]
-    same = common_prefixes(np.frombuffer(text, np.uint8), order, length) >= length
-    marked = np.zeros(len(order), bool)
-    marked[:-1] |= same
-    marked[1:] |= same
-    places, owners = order[marked] - begins[owner[marked]], owner[marked]
-    by_owner = np.lexsort((places, owners))
-    places, owners = places[by_owner], owners[by_owner]
-    edges = np.searchsorted(owners, np.arange(len(contexts) + 1))
-    return [places[edges[i] : edges[i + 1]] for i in range(len(contexts))]
+    buf, found = np.frombuffer(text, np.uint8), []
+    for n in dict.fromkeys((length, longer)):
+        same = common_prefixes(buf, order, n) >= n
+        marked = np.zeros(len(order), bool)
+        marked[:-1] |= same
+        marked[1:] |= same
+        marked &= order + n <= begins[owner] + sizes[owner]
+        places, owners = order[marked] - begins[owner[marked]], owner[marked]
+        by_owner = np.lexsort((places, owners))
+        places, owners = places[by_owner], owners[by_owner]
+        edges = np.searchsorted(owners, np.arange(len(contexts) + 1))
+        found.append([places[edges[i] : edges[i + 1]] for i in range(len(contexts))])
+    return found
 
 
 def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
@@ -184,11 +215,17 @@ def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], cut + 1])].tolist(), places[np.concatenate([cut, [len(places) - 1]])].tolist()))
 
 
-_RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-_RANGES_SQL = "array<struct<first:int,last:int>>"
+_RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_RANGE_SQL = "array<struct<first:int,last:int>>"
+#: Starts of repeated windows of a length.
+_MARKS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("length", pa.int32())]))
+_MARKS_SQL = "array<struct<first:int,last:int,length:int>>"
+#: A context of a text; each begins where the windows of the one before end. windows: twice their number, and 1 if the anchor recurs.
+_CONTEXT = np.dtype([("anchor", "<i8"), ("context", "<i8"), ("windows", "<u2")])
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _find_contexts(batches: Iterator[pa.RecordBatch], length: int, longer: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The texts' contexts, packed; texts without any are left out."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
@@ -198,69 +235,98 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         text, start, windows, hashes, inner = anchors(np.frombuffer(body, np.uint8), bounds, length, gram)
         view, begin = memoryview(body), bounds[text] + start
-        whole = np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), (begin + windows + length - 1).tolist())), np.uint64, len(text))
-        which = pa.array(text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_k").take(which), batch.column("_x").take(which), pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(inner)],
-            ["_k", "_x", "anchor", "context", "start", "windows", "inner"],
-        )
-
-
-def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+        end = np.minimum(begin + windows + longer - 1, bounds[text + 1])
+        packed = np.empty(len(text), _CONTEXT)
+        packed["anchor"], packed["windows"] = hashes.view(np.int64), 2 * windows + inner
+        packed["context"] = np.fromiter((digest(view[a:b], w) for a, b, w in zip(begin.tolist(), end.tolist(), windows.tolist())), np.uint64, len(text)).view(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.empty(0, np.int64)
+        which = pa.array(text[cuts])
+        blobs = [packed[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(text)])]
+        yield pa.RecordBatch.from_arrays([batch.column("_k").take(which), batch.column("_x").take(which), pa.array(blobs, pa.binary())], ["_k", "_x", "contexts"])
+
+
+def _unpack_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each context; place: where it starts and its windows, as packed, below."""
+    for batch in batches:
+        blobs = batch.column("contexts").to_pylist()
+        counts = np.array([len(b) // _CONTEXT.itemsize for b in blobs], np.int64)
+        for at in range(0, len(blobs), 64):
+            flat = np.frombuffer(b"".join(blobs[at : at + 64]), _CONTEXT)
+            own = counts[at : at + 64]
+            windows = (flat["windows"] >> 1).astype(np.int64)
+            ends = np.cumsum(windows)
+            firsts = (ends - windows)[np.cumsum(own) - own] if len(flat) else ends
+            start = ends - windows - np.repeat(firsts, own)
+            which = pa.array(np.repeat(np.arange(at, at + len(own)), own))
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(which), batch.column("_x").take(which), pa.array(flat["anchor"].copy()), pa.array(flat["context"].copy()), pa.array(start << 16 | flat["windows"])], ["_k", "_x", "anchor", "context", "place"])
+
+
+def _cut_contexts(batches: Iterator[pa.RecordBatch], longer: int) -> Iterator[pa.RecordBatch]:
     for batch in text_chunks(batches, "_text"):
         texts = batch.column("_text").cast(pa.binary()).to_pylist()
-        anchor, context, body = [], [], []
+        anchor, context, windows, body = [], [], [], []
         for text, wanted in zip(texts, batch.column("wanted").to_pylist()):
             for w in wanted:
+                start, n = w["place"] >> 16, (w["place"] & 0xFFFF) >> 1
                 anchor.append(w["anchor"])
                 context.append(w["context"])
-                body.append(text[w["start"] : w["start"] + w["windows"] + length - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), pa.array(body, pa.binary())], ["anchor", "context", "body"])
+                windows.append(n)
+                body.append(text[start : start + n + longer - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), pa.array(windows, pa.int32()), pa.array(body, pa.binary())], ["anchor", "context", "windows", "body"])
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], length: int, longer: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor; an anchor's rows are compared together, several anchors at a time."""
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        marks = repeated_windows([x[2] for x in held], length)
-        ranges = [[{"first": a, "last": b} for a, b in _ranges(m)] for m in marks]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array(ranges, _RANGES)], ["anchor", "context", "ranges"])
+        found = repeated_windows([x[3] for x in held], [x[2] for x in held], length, longer)
+        marks = [[{"first": a, "last": b, "length": n} for n, one in zip((length, longer), each) for a, b in _ranges(one)] for each in zip(*found)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array(marks, _MARKS)], ["anchor", "context", "marks"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "body"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "windows", "body"))):
             if size > SORTED_BYTES and held[-1][0] != row[0]:
                 yield flush()
                 held, size = [], 0
             if not held or held[-1][:2] != row[:2]:  # repeated rows bring a context more than once
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
     if held:
         yield flush()
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _hash_windows(batches: Iterator[pa.RecordBatch], length: int, longer: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        for anchor, context, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "body"))):
+        for anchor, context, windows, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "windows", "body"))):
             view = memoryview(body)
-            n = len(body) - length + 1
-            digests = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "at", "window"])
+            for size in dict.fromkeys((length, longer)):
+                n = max(0, min(windows, len(body) - size + 1))
+                digests = [xxhash.xxh3_128_digest(view[i : i + size]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "length", "at", "window"])
+
+
+def _spans(text: bytes, marks: list[dict], length: int, least_words: int) -> list[list[int]]:
+    """[from, to) of the bytes that repeated windows of this length cover, where they hold so many words."""
+    merged: list[list[int]] = []
+    for a, b in sorted((m["first"], min(m["last"] + length, len(text))) for m in marks if m["length"] == length and m["first"] + length <= len(text)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return [x for x in merged if not least_words or len(text[x[0] : x[1]].split()) >= least_words]
 
 
-def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, as_text: bool, least_words: int, report: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    listed = lambda merged: [{"first": a, "last": b - 1} for a, b in merged]
     for batch in text_chunks(batches, "_text"):
-        kept, sizes, spans = [], [], []
-        for text, ranges in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist()):
-            text, merged = text or b"", []
-            for a, b in sorted((r["first"], r["last"] + length) for r in ranges or ()):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
+        kept, sizes, spans, repeats = [], [], [], []
+        for text, marks in zip(batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist()):
+            text = text or b""
+            merged = _spans(text, marks or [], length, least_words)
             parts, at = [], 0
             for a, b in merged:
                 parts.append(text[at:a])
@@ -268,60 +334,69 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], length: int, as_text: bool) ->
             left = b"".join([*parts, text[at:]])
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             sizes.append(len(text))
-            spans.append([{"first": a, "last": b - 1} for a, b in merged])
-        names = [n for n in batch.schema.names if n not in ("_text", "ranges")]
+            spans.append(listed(merged))
+            repeats.append(listed(_spans(text, marks or [], *report)) if report else [])
+        names = [n for n in batch.schema.names if n not in ("_text", "marks")]
         rest = [batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(spans, _RANGES), pa.array(kept, pa.string() if as_text else pa.binary()), *rest], ["n_bytes", "spans", "kept", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(spans, _RANGE), pa.array(repeats, _RANGE), pa.array(kept, pa.string() if as_text else pa.binary()), *rest], ["n_bytes", "spans", "repeats", "kept", *names])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """key, n_bytes, spans (removed bytes, both ends in), kept and the columns `keep` for each row.
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep: tuple[str, ...] = (), as_text: bool = False, least_words: int = 0, report: tuple[int, int] | None = None
+) -> DataFrame:
+    """key, n_bytes, spans (removed bytes, both ends in), repeats, kept and the columns `keep` for each row.
 
-    `length` is at least `gram`, a power of two. kept is binary; with as_text it is a string, without the bytes of
-    characters that a cut has split.
+    `length` is at least `gram`, a power of two. Spans of fewer words than `least_words` stay. kept is binary; with
+    as_text it is a string, without the bytes of characters that a cut has split. report: bytes (`length` at most, `gram`
+    at least) and words of shorter repeats, which `repeats` then lists and which stay in the text.
     """
+    least = min(length, report[0]) if report else length
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *keep).alias("_rest"))
-    found = map_arrow(rows.select("_k", "_x", "_text"), lambda it: _find_anchors(it, length, gram), f"_k {kind}, _x bigint, anchor bigint, context bigint, start int, windows int, inner boolean")
-    found = checkpoint(found)
-    counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "start", "windows")).alias("one"), F.max("inner").alias("inner"))
-    counted = checkpoint(counted)
-    several = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least"), F.max("inner").alias("any_inner")).where("total > 1 or any_inner")
-    repeated = counted.join(several, "anchor")
-    copies = repeated.where("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.windows") - 1).alias("last"))).cast(_RANGES_SQL).alias("ranges"))
-    wanted = repeated.where("least = 1 and (contexts > 1 or inner)").select(F.col("one._k").alias("_k"), F.col("one._x").alias("_x"), F.struct("anchor", "context", F.col("one.start").alias("start"), F.col("one.windows").alias("windows")).alias("want"), "contexts")
+    found = checkpoint(map_arrow(rows.select("_k", "_x", "_text"), lambda it: _find_contexts(it, least, length, gram), f"_k {kind}, _x bigint, contexts binary"))
+    found = map_arrow(found, _unpack_contexts, f"_k {kind}, _x bigint, anchor bigint, context bigint, place bigint")
+    counted = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "_x", "place")).alias("one"))
+    inner = F.col("one.place") % 2
+    several = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least"), F.max(inner).alias("any_inner")).where("total > 1 or any_inner = 1")
+    repeated = checkpoint(counted.join(several.select("anchor", "contexts", "least"), "anchor"))
+    last = (F.floor(F.col("one.place") / 2).cast("bigint") % 32768 - 1).cast("int")
+    whole = [F.struct(F.lit(0).alias("first"), last.alias("last"), F.lit(n).alias("length")) for n in dict.fromkeys((least, length))]
+    copies = repeated.where("n > 1").select("anchor", "context", F.array(*whole).cast(_MARKS_SQL).alias("marks"))
+    wanted = repeated.where((F.col("least") == 1) & ((F.col("contexts") > 1) | (inner == 1))).select(F.col("one._k").alias("_k"), F.col("one._x").alias("_x"), F.struct("anchor", "context", F.col("one.place").alias("place")).alias("want"), "contexts")
     same = lambda a, b: a["_k"].eqNullSafe(b["_k"]) & (a["_x"] == b["_x"])
     marks = [copies]
-    ones = counted.where("n = 1").select("anchor", "context")
+    ones = repeated.where("n = 1").select("anchor", "context")
 
     def bodies(which: DataFrame) -> DataFrame:
         lists = which.groupBy("_k", "_x").agg(F.collect_list("want").alias("wanted"))  # as long as the text at most
         joined = rows.join(lists, same(rows, lists)).select("_text", "wanted", "_rest")  # the same columns as below, so both joins read one exchange
-        return map_arrow(joined, lambda it: _cut_contexts(it, length), "anchor bigint, context bigint, body binary")
+        return map_arrow(joined, lambda it: _cut_contexts(it, length), "anchor bigint, context bigint, windows int, body binary")
 
     cold = bodies(wanted.where(F.col("contexts") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "context")
-    marks.append(map_arrow(cold, lambda it: _sort_contexts(it, length), f"anchor bigint, context bigint, ranges {_RANGES_SQL}").where(F.size("ranges") > 0).join(ones, ["anchor", "context"], "left_semi"))
-    if not several.where(F.col("contexts") > hot).isEmpty():
-        windows = map_arrow(bodies(wanted.where(F.col("contexts") > hot)), lambda it: _hash_windows(it, length), "anchor bigint, context bigint, at int, window binary")
-        twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-        ranges = F.transform(F.sort_array(F.collect_list("at")), lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("ranges")
-        marks.append(windows.join(twice, "window").groupBy("anchor", "context").agg(ranges).join(ones, ["anchor", "context"], "left_semi"))
+    marks.append(map_arrow(cold, lambda it: _sort_contexts(it, least, length), f"anchor bigint, context bigint, marks {_MARKS_SQL}").where(F.size("marks") > 0).join(ones, ["anchor", "context"], "left_semi"))
+    if not repeated.where(F.col("contexts") > hot).isEmpty():
+        windows = map_arrow(bodies(wanted.where(F.col("contexts") > hot)), lambda it: _hash_windows(it, least, length), "anchor bigint, context bigint, length int, at int, window binary")
+        twice = windows.groupBy("length", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length", "window")
+        each = F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), "length")).alias("marks")
+        marks.append(windows.join(twice, ["length", "window"]).groupBy("anchor", "context").agg(each).join(ones, ["anchor", "context"], "left_semi"))
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
-    placed = found.join(every, ["anchor", "context"]).select("_k", "_x", F.transform("ranges", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last"))).alias("ranges"))
-    per_text = placed.groupBy("_k", "_x").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    cut = rows.join(per_text, same(rows, per_text), "left").select("_text", "ranges", rows["_k"], "_rest")
+    start = F.shiftright("place", 16).cast("int")
+    placed = found.join(every, ["anchor", "context"]).select("_k", "_x", F.transform("marks", lambda r: F.struct((r["first"] + start).alias("first"), (r["last"] + start).alias("last"), r["length"].alias("length"))).alias("marks"))
+    per_text = placed.groupBy("_k", "_x").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    cut = rows.join(per_text, same(rows, per_text), "left").select("_text", "marks", rows["_k"], "_rest")
     kept = "string" if as_text else "binary"
     rest = rows.schema["_rest"].dataType.simpleString()
-    done = map_arrow(cut, lambda it: _cut_texts(it, length, as_text), f"n_bytes bigint, spans {_RANGES_SQL}, kept {kept}, _k {kind}, _rest {rest}")
-    return done.select(F.col("_k").alias(key), "n_bytes", "spans", "kept", *(F.col("_rest")[c].alias(c) for c in keep))
+    done = map_arrow(cut, lambda it: _cut_texts(it, length, as_text, least_words, report), f"n_bytes bigint, spans {_RANGE_SQL}, repeats {_RANGE_SQL}, kept {kept}, _k {kind}, _rest {rest}")
+    return done.select(F.col("_k").alias(key), "n_bytes", "spans", "repeats", "kept", *(F.col("_rest")[c].alias(c) for c in keep))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"] + 1).cast("long"))
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and n_passage_bytes: bytes in repeats of PASSAGE bytes and PASSAGE_WORDS words, which stay."""
+    done = remove_repeats(table(spark, sf_dir, "documents"), gram=PASSAGE_GRAM, report=(PASSAGE, PASSAGE_WORDS))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"] + 1).cast("long"))
+    return done.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("repeats").alias("n_passage_bytes"))
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}

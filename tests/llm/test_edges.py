@@ -16,7 +16,7 @@ BENCHMARK = [(1, PASSAGE[:200]), (None, "gone"), (2, None), (3, ""), (4, "one"),
 LABELS = [(4, 1, 0), (5, 1, None), (5, 0, 1), (None, 1, 1), (7, None, 0), (13, 0, 1), (99, 1, 1), (10, 1, 0)]
 CONVERSATIONS = [(1, 0, "user", "hi there"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, None, "assistant", "y"), (2, 0, None, "z"), (3, 0, "assistant", "first")]
 #: Names that the operators use themselves.
-CLASHING = [(n, "'x'") for n in ("n_words", "score", "ids", "decoded", "spans", "_text", "_k", "_x", "n", "anchor", "component_id", "kept", "hit_items", "label", "_rest", "set", "block", "_key", "_stratum")]
+CLASHING = [(n, "'x'") for n in ("n_words", "score", "ids", "decoded", "spans", "_text", "_k", "_x", "n", "anchor", "component_id", "kept", "hit_items", "label", "_rest", "set", "block", "_key", "_stratum", "_id", "_rows", "_score", "_row", "rows", "n_hit")]
 PER_DOCUMENT = [q for q in QUERIES if q.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op9")]
 
 
@@ -81,4 +81,11 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, clashing):
     assert corpus_pipeline.run(spark, empty).count() == 0
     found = corpus_pipeline.run(spark, odd).collect()
     ids = [r.doc_id for r in found]
+    assert rows(corpus_pipeline.run(spark, odd)) == rows(corpus_pipeline.run(spark, clashing))
+    import os
+
+    docs = spark.read.parquet(os.path.join(clashing, "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, clashing)
+        assert all(r[n] == "x" for r in docs.collect() for n, _ in CLASHING)
     assert ids.count(5) <= 1 and len(ids) == len(set(ids) - {None}) + ids.count(None)

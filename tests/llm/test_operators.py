@@ -121,6 +121,17 @@ def test_automaton_finds_every_window(spark, block):
         assert (r.n_words, r.n_hit, r.hit_items) == brute_hits(r.text, items, 4)
 
 
+def test_a_large_benchmark_takes_one_map(spark):
+    r = random.Random(5)
+    items = [(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(9_000))) for i in range(90)]
+    texts = [(i, " ".join(f"w{r.randrange(30_000)}" for _ in range(50)) + " " + " ".join(items[i][1].split()[100:130])) for i in range(0, 90, 7)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    assert sum(len(t) for _, t in items) > 5_000_000
+    found = decontaminate.find_hits(spark.createDataFrame(texts, "doc_id int, text string"), bench, block_bytes=2 << 20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {x.doc_id: (x.n_words, x.n_hit, x.hit_items) for x in found.collect()} == {i: brute_hits(t, [items[i]], 13) for i, t in texts}
+
+
 def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "keep this, One two THREE four; and that " + "more words " * 9), (2, "one two three four"), (3, None)], "doc_id int, text string")
     bench = spark.createDataFrame([(1, "one two three four")], "item_id int, text string")
@@ -396,6 +407,21 @@ def test_tool_calls(spark):
     assert found[1, "c"].json.endswith('"result":null}')
 
 
+def test_tool_call_ids_and_references(spark):
+    """Only whole "$id" values refer; ids in texts and turn numbers are told apart; turns come after their conversation's first."""
+    call = "<tool_call>" + json.dumps({"id": "0", "name": "get", "arguments": {"key": "$9 off", "list": ["$0"]}}) + "</tool_call>"
+    rows = [(1, 0, "user", 'He paid "$100" today'), (1, 1, "assistant", call), (1, 2, "user", "$5"), (1, 3, "assistant", "done"), (2, 4, "user", '{"x": "$4"}')]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results = tool_calls.exchanges(messages)
+    calls, results = calls.unionByName(tool_calls.embedded_calls(messages)), results.unionByName(tool_calls.embedded_results(messages))
+    linked = tool_calls.link(calls, results, spark.createDataFrame(list(tool_calls.EXCHANGE_FIELDS), tool_calls._FIELDS_SQL)).collect()
+    found = sorted((r.conv_id, r.turn, json.loads(r.json)["call"]["name"], r.level, r.result_turn) for r in linked)
+    assert found == [(1, 0, "user", 0, 1), (1, 1, "get", 0, None), (1, 2, "user", 1, 3), (2, 4, "user", 0, None)]
+    chain = [(1, "id", i, 0, f"c{i}", "get", "{}", [f"c{i - 1}"] if i else []) for i in range(6)] + [(1, "id", 9, 0, "x", "get", "{}", ["c1", "c4"])]
+    df = spark.createDataFrame(chain, "conv_id long, space string, turn long, place int, call_id string, name string, arguments string, refs array<string>")
+    assert {r.call_id: r.level for r in tool_calls.levels(df).collect()} == {f"c{i}": i for i in range(6)} | {"x": 5}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
@@ -408,11 +434,14 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r, s in zip(rows, model.score([r.text.encode() for r in rows])) if s >= 0.3}
     rows = good.collect()
     first = stages[1](spark, good, SMALL)
-    groups = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(good).collect()}
+    groups = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(good, n=5, num=80, den=100).collect()}
     assert sorted(r.doc_id for r in first.collect()) == sorted(set(groups.values()))
     rows = {r.doc_id: r.text for r in first.collect()}
     cut = stages[2](spark, spark.createDataFrame(first.collect(), docs.schema), SMALL)
-    expected = dict(zip(rows, (b.decode("utf-8", "ignore") for b in brute_repeats([t.encode() for t in rows.values()], 400))))
+    expected = {}
+    for (i, t), spans in zip(rows.items(), brute_spans([t.encode() for t in rows.values()], 250, 50)):
+        cuts = [-1, *(x for s in spans for x in s), len(t.encode())]
+        expected[i] = b"".join(t.encode()[a + 1 : b] for a, b in zip(cuts[::2], cuts[1::2])).decode("utf-8", "ignore")
     assert {r.doc_id: (r.text, r.n_chars) for r in cut.collect()} == {i: (t, len(t)) for i, t in expected.items()}
     clean = stages[3](spark, cut, SMALL)
     left = {i for i, t in expected.items() if (h := brute_hits(t, bench, 13))[1] <= 0.5 * h[0]}

@@ -98,3 +98,9 @@ def test_wrapped_notices_and_names(spark):
     found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()}
     assert [found[i] for i in range(len(wrapped))] == [([label], 1.0) for label, _ in wrapped]
     assert [found[1000 + i] for i in range(len(other))] == [([], 0.0)] * len(other)
+
+
+def test_only_ascii_is_lowered(spark):
+    rows = [(1, "This wor\u212a is licensed under the GNU General Public License, version 3"), (2, "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3"), (3, "Released under\nthe MIT\nLicense")]
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases={"no such phrase": "none"}).collect()}
+    assert found[1][0] == ["gpl-3"] and abs(found[1][1] - 11 / 12) < 1e-12 and found[2] == (["gpl-3"], 1.0) and found[3] == (["mit"], 1.0)
