@@ -288,13 +288,13 @@ def _by_bucket(bucket: np.ndarray, buckets: int, names: np.ndarray, owners: np.n
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
     for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         used, short = np.unique(owners[at:end], return_inverse=True)
-        yield int(bucket[at]), names[at:end].astype("<u8").tobytes(), short.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()
+        yield int(bucket[at]), names[at:end].astype("<u8").tobytes(), short.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), ids[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()
 
 
 def _unpacked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """names, set ids and set sizes of rows of _PACKED."""
     names = np.concatenate([np.frombuffer(r[0], "<u8") for r in held])
-    owners = [np.frombuffer(r[1], "<u4") for r in held]
+    owners = [np.frombuffer(r[1], "<u2" if 4 * len(r[1]) == len(r[0]) else "<u4") for r in held]
     return names, np.concatenate([np.frombuffer(r[2], "<i8")[o] for r, o in zip(held, owners)]), np.concatenate([np.frombuffer(r[3], "<i4")[o] for r, o in zip(held, owners)]).astype(np.int64)
 
 
