@@ -9,8 +9,8 @@ sums before the shuffle: a context that occurs twice repeats whole, and copies n
 an anchor has several distinct contexts, one text each is sorted: contexts are laid end to end, the suffixes
 smaller than their successors are sorted directly, the rest is induced by scans over the buckets of first bytes,
 and adjacent common prefixes of `length` bytes mark repeated windows. An anchor with more than HOT distinct
-contexts (a passage inside very many texts) goes by the hashes of its windows instead, counted with partial sums,
-so that no group comes to one task.
+contexts (a passage inside very many texts) goes by the 128-bit hashes of its windows instead, packed and dealt by hash;
+of a hash that a batch has twice one travels, so that no group comes to one task.
 
 Shorter repeats can be reported beside (`report`): anchors are then those of the shorter windows, contexts reach on for
 the longer ones, and one sort finds both by the same common prefixes.
@@ -297,16 +297,84 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch], length: int, longer: int)
         yield flush()
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch], length: int, longer: int) -> Iterator[pa.RecordBatch]:
+#: Hashes of windows, by bucket (-1: known to repeat): the hashes, which context of the row each is in, and where and how long.
+_HASHED = "bucket int, digests binary, owners binary, places binary, anchors binary, contexts binary"
+_DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
+#: Hashes in a bucket, about.
+HASHES = 1_000_000
+
+
+def _hash_windows(batches: Iterator[pa.RecordBatch], length: int, longer: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Contexts -> rows of _HASHED; of a hash that a batch has twice one travels, and all its places are known to repeat."""
     import xxhash
 
     for batch in batches:
-        for anchor, context, windows, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "windows", "body"))):
+        if not batch.num_rows:
+            continue
+        anchors, contexts = (batch.column(c).to_numpy() for c in ("anchor", "context"))
+        digests, owners, places = [], [], []
+        for i, (windows, body) in enumerate(zip(batch.column("windows").to_pylist(), batch.column("body").to_pylist())):
             view = memoryview(body)
             for size in dict.fromkeys((length, longer)):
                 n = max(0, min(windows, len(body) - size + 1))
-                digests = [xxhash.xxh3_128_digest(view[i : i + size]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["anchor", "context", "length", "at", "window"])
+                digests += [xxhash.xxh3_128_digest(view[j : j + size], size) for j in range(n)]
+                owners.append(np.full(n, i))
+                places.append(np.arange(n) << 32 | size)
+        flat, owners, places = np.frombuffer(b"".join(digests), _DIGEST), np.concatenate(owners), np.concatenate(places)
+        order = np.lexsort((flat["low"], flat["high"]))
+        flat, owners, places = flat[order], owners[order], places[order]
+        first = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+        counts = np.diff(np.concatenate([np.flatnonzero(first), [len(flat)]]))
+        again = np.repeat(counts > 1, counts)
+        bucket = ((flat["high"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        rows = []
+        for b, which in [(-1, np.flatnonzero(again)), *((b, np.flatnonzero(first & (bucket == b))) for b in range(buckets))]:
+            if len(which):
+                used, short = np.unique(owners[which], return_inverse=True)
+                at = places[which] | (again[which].astype(np.int64) << 63 if b >= 0 else 0)  # the sign: it repeats anyway
+                rows.append((b, flat[which].tobytes(), short.astype("<u4").tobytes(), at.astype("<i8").tobytes(), anchors[used].astype("<i8").tobytes(), contexts[used].astype("<i8").tobytes()))
+        columns = [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 5]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "digests", "owners", "places", "anchors", "contexts"])
+
+
+def _match_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _HASHED sorted by bucket -> anchor, context, marks of windows whose hash occurs again."""
+    held: list[tuple] = []
+    current = None
+
+    def flush() -> pa.RecordBatch:
+        flat = np.concatenate([np.frombuffer(r[0], _DIGEST) for r in held])
+        owners = [np.frombuffer(r[1], "<u4") for r in held]
+        places = np.concatenate([np.frombuffer(r[2], "<i8") for r in held])
+        anchor, context = (np.concatenate([np.frombuffer(r[c], "<i8")[o] for r, o in zip(held, owners)]) for c in (3, 4))
+        marked = np.ones(len(flat), bool)
+        if current >= 0:
+            order = np.lexsort((flat["low"], flat["high"]))
+            flat, places, anchor, context = flat[order], places[order], anchor[order], context[order]
+            run = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+            known = places < 0
+            marked = ((np.bincount(run) > 1) | (np.bincount(run, known) > 0))[run] & ~known  # known ones are marked where they were found
+        places, anchor, context = places[marked], anchor[marked], context[marked]
+        size, at = places & 0xFFFFFFFF, places >> 32
+        order = np.lexsort((at, size, context, anchor))
+        size, at, anchor, context = size[order], at[order], anchor[order], context[order]
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])])[: len(at)]
+        begin = new | np.concatenate([[True], (size[1:] != size[:-1]) | (at[1:] > at[:-1] + 1)])[: len(at)]
+        starts = np.flatnonzero(begin)
+        ends = np.concatenate([starts[1:], [len(at)]])[: len(starts)] - 1
+        ranges = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (at[starts], at[ends], size[starts])], ["first", "last", "length"])
+        lists = np.concatenate([np.searchsorted(starts, np.flatnonzero(new)), [len(starts)]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(context[new]), pa.ListArray.from_arrays(pa.array(lists), ranges)], ["anchor", "context", "marks"])
+
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (bucket != current or bucket < 0 and len(held) >= 16):
+                yield flush()
+                held = []
+            current = bucket
+            held.append(tuple(row))
+    if held:
+        yield flush()
 
 
 def _spans(text: bytes, marks: list[dict], length: int, least_words: int) -> list[list[int]]:
@@ -374,11 +442,13 @@ def remove_repeats(
 
     cold = bodies(wanted.where(F.col("contexts") <= hot)).repartition("anchor").sortWithinPartitions("anchor", "context")
     marks.append(map_arrow(cold, lambda it: _sort_contexts(it, least, length), f"anchor bigint, context bigint, marks {_MARKS_SQL}").where(F.size("marks") > 0).join(ones, ["anchor", "context"], "left_semi"))
-    if not repeated.where(F.col("contexts") > hot).isEmpty():
-        windows = map_arrow(bodies(wanted.where(F.col("contexts") > hot)), lambda it: _hash_windows(it, least, length), "anchor bigint, context bigint, length int, at int, window binary")
-        twice = windows.groupBy("length", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length", "window")
-        each = F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), "length")).alias("marks")
-        marks.append(windows.join(twice, ["length", "window"]).groupBy("anchor", "context").agg(each).join(ones, ["anchor", "context"], "left_semi"))
+    hashed = wanted.where(F.col("contexts") > hot)
+    total = hashed.agg(F.sum(F.col("want.place") % 65536)).first()[0]
+    if total:
+        buckets = 1 + int(total) // HASHES
+        rows_of = map_arrow(bodies(hashed), lambda it: _hash_windows(it, least, length, buckets), _HASHED)
+        dealt = rows_of.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("digests")).otherwise(F.lit(0))).repartition(max(2, buckets), "bucket", "salt").sortWithinPartitions("bucket").drop("salt")
+        marks.append(map_arrow(dealt, _match_hashes, f"anchor bigint, context bigint, marks {_MARKS_SQL}").join(ones, ["anchor", "context"], "left_semi"))
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
