@@ -192,9 +192,9 @@ class HnswIndex:
         dim = None if kind is SPARSE else _dims(df, v)
         check_indexable("hnsw", kind, metric, dim if dim is not None else 3)
         types = {"key_type": df.schema[key].dataType.simpleString(), "vec": df.schema[v].dataType.simpleString()}
-        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "version": 0, "seed": seed, "shard_rows": shard_rows, **options, **types}
+        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "version": 0, "changes": 1, "seed": seed, "shard_rows": shard_rows, **options, **types}
         index = cls(Store(df.sparkSession, path), meta)
-        index._append(df.where(F.col(v).isNotNull()).select(F.col(key).alias("key"), F.col(v).alias("vec")), "error")
+        index._append(df.where(F.col(v).isNotNull()).select(F.col(key).alias("key"), F.col(v).alias("vec")), 1)
         index.store.save_meta(meta)
         return index
 
@@ -203,7 +203,7 @@ class HnswIndex:
         store = Store(spark, path)
         return cls(store, store.load_meta())
 
-    def _append(self, rows: DataFrame, mode: str) -> None:
+    def _append(self, rows: DataFrame, number: int) -> None:
         kind, metric, m, ef, seed = self.kind, self.metric, self.m, self.ef_construction, self.meta["seed"]
         shards = max(1, -(-rows.count() // self.meta["shard_rows"]))
         limit = kind.index_limits["hnsw"]
@@ -222,19 +222,22 @@ class HnswIndex:
         made = dealt.groupBy("shard").applyInArrow(build, "n bigint, payload binary")
         context = self.store.spark.sparkContext
         context.setJobDescription("hnsw: loading rows")
-        self.store.write(made, f"shards-{self.meta['version']}", mode)
+        self.store.write(made, f"shards-{self.meta['version']}/change={number}", "overwrite")
         context.setJobDescription(None)
 
-    def insert(self, df: DataFrame, v: str = "embedding", key: str | None = None) -> None:
-        """New rows in new shards."""
-        self._append(df.where(F.col(v).isNotNull()).select(F.col(key or self.meta["key"]).alias("key"), F.col(v).alias("vec")), "append")
+    def insert(self, df: DataFrame, v: str = "embedding", key: str | None = None, commit: bool = True) -> None:
+        """New rows in new shards. What isn't committed doesn't count, and is written over by the next change after load()."""
+        self.meta["changes"] += 1
+        self._append(df.where(F.col(v).isNotNull()).select(F.col(key or self.meta["key"]).alias("key"), F.col(v).alias("vec")), self.meta["changes"])
+        if commit:
+            self.store.save_meta(self.meta)
 
-    def delete(self, keys: DataFrame, key: str | None = None) -> None:
-        self.store.write(keys.select(F.col(key or self.meta["key"]).alias("key")), f"deleted-{self.meta['version']}", "append")
+    def delete(self, keys: DataFrame, key: str | None = None, commit: bool = True) -> None:
+        """Hides the rows of these keys that are there by now; rows inserted later are found."""
+        self.store.delete(keys.select(F.col(key or self.meta["key"]).alias("key")), self.meta, commit)
 
-    def _deleted(self) -> DataFrame | None:
-        name = f"deleted-{self.meta['version']}"
-        return self.store.table(name).distinct() if self.store.exists(name) else None
+    def _shards(self) -> DataFrame:
+        return self.store.changes(f"shards-{self.meta['version']}", self.meta["changes"])
 
     def rows(self) -> DataFrame:
         """key and vec of every row that is indexed and not deleted."""
@@ -244,24 +247,23 @@ class HnswIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for payload in batch.column("payload").to_pylist():
+                for payload, change in zip(batch.column("payload").to_pylist(), batch.column("change").to_pylist()):
                     graph = Graph.unpack(payload)
                     which = [i for i, keys in enumerate(graph.keys) for _ in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for keys in graph.keys for k in keys], key_type), _arrow_of(graph.batch, which, kind)], ["key", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k for keys in graph.keys for k in keys], key_type), _arrow_of(graph.batch, which, kind), pa.array([change] * len(which), pa.int32())], ["key", "vec", "change"])
 
-        found = self.store.table(f"shards-{self.meta['version']}").select("payload").mapInArrow(run, f"key {self.meta['key_type']}, vec {self.meta['vec']}")
-        gone = self._deleted()
-        return found if gone is None else found.join(gone, "key", "left_anti")
+        found = self._shards().select("payload", "change").mapInArrow(run, f"key {self.meta['key_type']}, vec {self.meta['vec']}, change int")
+        return self.store.live(found, self.meta).select("key", "vec")
 
     def compact(self) -> None:
         """Rebuilds the shards without deleted rows."""
         live = self.rows()
-        self.meta["version"] += 1
-        self._append(live, "error")
+        self.meta |= {"version": self.meta["version"] + 1, "changes": 1}
+        self._append(live, 1)
         self.store.save_meta(self.meta)
 
     def stats(self) -> DataFrame:
-        return self.store.table(f"shards-{self.meta['version']}").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("n_rows"), F.sum(F.octet_length("payload")).alias("bytes"))
+        return self._shards().agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("n_rows"), F.sum(F.octet_length("payload")).alias("bytes"))
 
     def search(self, queries: DataFrame, k: int, ef_search: int | None = None, iterative: str | None = None, max_scan_tuples: int | None = None, v: str = "embedding", key: str | None = None, allowed: DataFrame | None = None, out: str = "distance", query: str = "query_id", limit: int = QUERY_BYTES) -> DataFrame:
         """query_id, key, distance and rank of up to k rows for each query; without iteration a shard gives ef_search elements at most.
@@ -293,19 +295,18 @@ class HnswIndex:
         return self.search(asked, k, v="_vector", key="_id", out=out, **options).orderBy("rank").select(key, out)
 
     def _filtered(self, found: DataFrame, keys: DataFrame | None) -> DataFrame:
-        own_key, gone = self.meta["key"], self._deleted()
-        if gone is not None:
-            found = found.join(gone.withColumnRenamed("key", own_key), own_key, "left_anti")
+        own_key = self.meta["key"]
+        found = self.store.live(found.withColumnRenamed(own_key, "key"), self.meta).withColumnRenamed("key", own_key)
         return found if keys is None else found.join(keys, own_key, "left_semi")
 
     def _search_block(self, block: pa.Table, query_type: str, keys: DataFrame | None, k: int, ef: int, iterative: str, most: int, query: str, out: str) -> DataFrame:
         names, own_key = block.column("_q").to_pylist(), self.meta["key"]
         asked = batch_of(block.column("_v"), self.kind)
-        shards = self.store.table(f"shards-{self.meta['version']}").select("payload")
-        schema = f"{query} {query_type}, {own_key} {self.meta['key_type']}, {out} double"
+        shards = self._shards().select("payload", "change")
+        schema = f"{query} {query_type}, {own_key} {self.meta['key_type']}, {out} double, change int"
         columns, types, parts, live = (query, own_key, out), arrow_types(query_type, self.meta["key_type"]), [], np.arange(len(names))
-        free = iterative == "off" and keys is None and self._deleted() is None
-        largest = 0 if free else int(self.store.table(f"shards-{self.meta['version']}").agg(F.max("n")).first()[0] or 0)
+        free = iterative == "off" and keys is None and not self.store.deletes(self.meta)
+        largest = 0 if free else int(self._shards().agg(F.max("n")).first()[0] or 0)
         while True:
             shared = share(self.store.spark, (names, asked, live))
             part = self._filtered(shards.mapInArrow(_searcher(shared, self.kind, self.metric, ef, k if free else None, columns, types), schema), keys).select(*columns)
@@ -330,7 +331,7 @@ def _searcher(shared, kind, metric, ef: int, k: int | None, columns: tuple[str,
         units = asked.unit()[0] if metric.unit else asked
         best = TopK(k if k is not None else 2**31 - 1)
         for batch in batches:
-            for payload in batch.column("payload").to_pylist():
+            for payload, change in zip(batch.column("payload").to_pylist(), batch.column("change").to_pylist()):
                 graph = Graph.unpack(payload)
                 if graph.entry < 0:
                     continue
@@ -345,13 +346,21 @@ def _searcher(shared, kind, metric, ef: int, k: int | None, columns: tuple[str,
                             key.append(own)
                 if query:
                     query = np.array(query)
-                    best.add(query, metric.exact(asked.take(query), graph.batch.take(np.array(element))), np.array(key))
+                    distance, key = metric.exact(asked.take(query), graph.batch.take(np.array(element))), np.array(key)
+                    if k is None:  # all that was found goes on, with the change that brought it
+                        yield _changed(_rows(names, query, key, distance, columns, types), change)
+                    else:
+                        best.add(query, distance, key)
         if best.key is not None:
-            yield _rows(names, best.query, best.key, best.distance, columns, types)
+            yield _changed(_rows(names, best.query, best.key, best.distance, columns, types), 0)
 
     return run
 
 
+def _changed(rows: pa.RecordBatch, change: int) -> pa.RecordBatch:
+    return rows.append_column("change", pa.array([change] * rows.num_rows, pa.int32()))
+
+
 def _arrow_of(batch, which: list[int], kind) -> pa.Array:
     if batch.form == "dense":
         return pa.array([batch.values[i].astype(np.float32).tolist() for i in which], pa.list_(pa.float32()))

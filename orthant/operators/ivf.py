@@ -86,13 +86,13 @@ class IvfIndex:
         if scorer.unit and len(points):
             points = points[(points**2).sum(1) > 0]
         centers = km.kmeans(points, lists, scorer.spherical, kind is BIT, seed)
-        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "layout": layout, "version": 0, "seed": seed, "parts": -(-max(1, total) // PART_ROWS), "vec": df.schema[v].dataType.simpleString(), "key_type": df.schema[key].dataType.simpleString(), "few_samples": len(points) < lists}
+        meta = {"kind": kind.name, "metric": metric, "key": key, "dim": dim, "layout": layout, "version": 0, "changes": 1, "seed": seed, "parts": -(-max(1, total) // PART_ROWS), "vec": df.schema[v].dataType.simpleString(), "key_type": df.schema[key].dataType.simpleString(), "few_samples": len(points) < lists}
         if centers.nbytes > CENTER_BYTES:
             raise VectorError(f"centers take {centers.nbytes >> 20} MB, limit is {CENTER_BYTES >> 20} MB")
         index = cls(Store(spark, path), meta, centers)
         spark.sparkContext.setJobDescription("ivf: assigning and loading rows")
         index.store.write(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "list_id int, center array<double>"), "centers")
-        index._append(rows, "error")
+        index._append(rows, 1)
         index.store.save_meta(meta)
         spark.sparkContext.setJobDescription(None)
         return index
@@ -122,33 +122,36 @@ class IvfIndex:
     def _entries_name(self) -> str:
         return f"entries-{self.meta['version']}"
 
-    def _append(self, rows: DataFrame, mode: str) -> None:
-        self._write(self._assigned(rows), mode)
+    def _append(self, rows: DataFrame, number: int) -> None:
+        self._write(self._assigned(rows), number)
 
-    def _write(self, assigned: DataFrame, mode: str) -> None:
+    def _write(self, assigned: DataFrame, number: int) -> None:
         """Deals rows by list, a large list in several parts; unlike ranges this needs no pass to find bounds."""
         part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(self.meta["parts"]))
-        writer = assigned.repartition("list_id", part).sortWithinPartitions("list_id").write.mode(mode)
-        (writer.partitionBy("list_id") if self.meta["layout"] == "partitioned" else writer).parquet(f"{self.store.path}/{self._entries_name()}")
+        writer = assigned.repartition("list_id", part).sortWithinPartitions("list_id").write.mode("overwrite")
+        (writer.partitionBy("list_id") if self.meta["layout"] == "partitioned" else writer).parquet(f"{self.store.path}/{self._entries_name()}/change={number}")
 
     def entries(self) -> DataFrame:
         """list_id, key, vec of every row that is indexed and not deleted."""
-        found = self.store.table(self._entries_name()).select("list_id", "key", "vec")
-        gone = f"deleted-{self.meta['version']}"
-        return found.join(self.store.table(gone).distinct(), "key", "left_anti") if self.store.exists(gone) else found
+        found = self.store.changes(self._entries_name(), self.meta["changes"])
+        return self.store.live(found, self.meta).select("list_id", "key", "vec")
 
-    def insert(self, df: DataFrame, v: str = "embedding", key: str | None = None) -> None:
-        """Appends rows to their lists; centers stay."""
-        self._append(df.where(F.col(v).isNotNull()).select(F.col(key or self.meta["key"]).alias("key"), F.col(v).alias("vec")), "append")
+    def insert(self, df: DataFrame, v: str = "embedding", key: str | None = None, commit: bool = True) -> None:
+        """Appends rows to their lists; centers stay. What isn't committed doesn't count, and is written over by the next change after load()."""
+        self.meta["changes"] += 1
+        self._append(df.where(F.col(v).isNotNull()).select(F.col(key or self.meta["key"]).alias("key"), F.col(v).alias("vec")), self.meta["changes"])
+        if commit:
+            self.store.save_meta(self.meta)
 
-    def delete(self, keys: DataFrame, key: str | None = None) -> None:
-        self.store.write(keys.select(F.col(key or self.meta["key"]).alias("key")), f"deleted-{self.meta['version']}", "append")
+    def delete(self, keys: DataFrame, key: str | None = None, commit: bool = True) -> None:
+        """Hides the rows of these keys that are there by now; rows inserted later are found."""
+        self.store.delete(keys.select(F.col(key or self.meta["key"]).alias("key")), self.meta, commit)
 
     def compact(self) -> None:
         """Rewrites the table without deleted rows."""
         live = self.entries()
-        self.meta["version"] += 1
-        self._write(live, "error")
+        self.meta |= {"version": self.meta["version"] + 1, "changes": 1}
+        self._write(live, 1)
         self.store.save_meta(self.meta)
 
     def stats(self) -> DataFrame:

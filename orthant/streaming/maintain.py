@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 def maintain(index, stream: DataFrame, checkpoint: str, v: str = "embedding", key: str | None = None, deleted: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Applies a stream of rows to an index: rows whose boolean column `deleted` is true are deleted, others inserted.
 
-    A batch's number is kept in the index's metadata, so a batch that is delivered again after a failure is skipped.
+    A batch's deletions come before its insertions, so a key that has both is updated. Both count from the moment on when
+    the index's metadata is saved, with the batch's number: a batch that is delivered again is skipped if it was, and
+    written over what was left of it if not.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -19,15 +21,19 @@ def maintain(index, stream: DataFrame, checkpoint: str, v: str = "embedding", ke
         batch.persist()
         try:
             own = key or index.meta["key"]
-            new = batch if deleted is None else batch.where(~F.coalesce(F.col(deleted), F.lit(False)))
-            if not new.isEmpty():
-                index.insert(new, v, own)
             if deleted is not None:
                 gone = batch.where(F.col(deleted))
                 if not gone.isEmpty():
-                    index.delete(gone, own)
+                    index.delete(gone, own, commit=False)
+            new = batch if deleted is None else batch.where(~F.coalesce(F.col(deleted), F.lit(False)))
+            if not new.isEmpty():
+                index.insert(new, v, own, commit=False)
             index.meta["last_batch"] = number
             index.store.save_meta(index.meta)
+        except BaseException:
+            index.meta.clear()  # what was written doesn't count; the next try writes over it
+            index.meta.update(index.store.load_meta())
+            raise
         finally:
             batch.unpersist()
 

@@ -316,3 +316,48 @@ def test_stream_maintains_an_index(spark, uniform, tmp_path):
 def test_bits_of_kind(spark):
     df = spark.createDataFrame([(1, "0101"), (2, None)], "vec_id int, t string").select("vec_id", E.bit_from_text("t").alias("b"))
     assert knn.nearest(df, "0111", 1, "b", metric="hamming", kind=BIT).first().distance == 1.0
+
+
+@pytest.mark.parametrize("kind", ["ivf", "hnsw"])
+def test_keys_come_back_after_deletion(spark, kind, tmp_path):
+    from orthant.operators.hnsw import HnswIndex
+    from orthant.operators.ivf import IvfIndex
+
+    df = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(300)], "vec_id long, embedding array<float>")
+    index = IvfIndex.build(df, lists=4, path=str(tmp_path)) if kind == "ivf" else HnswIndex.build(df, path=str(tmp_path), shard_rows=100)
+    keys = lambda x: sorted(r[0] for r in (x.entries() if kind == "ivf" else x.rows()).select("key").collect())
+    index.delete(df.where("vec_id < 5"))
+    assert keys(index) == list(range(5, 300))
+    index.insert(df.where("vec_id < 3"))
+    back = [0, 1, 2, *range(5, 300)]
+    assert keys(index) == back == keys(type(index).load(spark, str(tmp_path)))
+    near = index.search(df.where("vec_id = 1"), 4, **({"probes": 4} if kind == "ivf" else {"ef_search": 300})).orderBy("rank").collect()
+    assert [r.vec_id for r in near] == [1, 0, 2, 5] if kind == "hnsw" else near[0].vec_id == 1
+    index.compact()
+    assert keys(index) == back == keys(type(index).load(spark, str(tmp_path)))
+
+
+def test_a_batch_that_failed_counts_once(spark, tmp_path, monkeypatch):
+    from orthant.operators.ivf import IvfIndex
+    from orthant.streaming.maintain import maintain
+
+    df = spark.createDataFrame([(i, [float(i), float(i % 7)], False) for i in range(40)], "vec_id long, embedding array<float>, gone boolean")
+    index = IvfIndex.build(df.where("vec_id < 20"), lists=2, path=str(tmp_path / "index"))
+    change = df.where("vec_id between 10 and 29").unionByName(df.where("vec_id between 10 and 12").selectExpr("vec_id", "embedding", "true AS gone")).unionByName(df.where("vec_id < 3").selectExpr("vec_id", "embedding", "true AS gone"))
+    change.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    save, failed = index.store.save_meta, []
+
+    def fail_once(meta):
+        if not failed:
+            failed.append(1)
+            raise OSError("lost")
+        save(meta)
+
+    monkeypatch.setattr(index.store, "save_meta", fail_once)
+    with pytest.raises(Exception):
+        maintain(index, stream(), str(tmp_path / "ck"), deleted="gone").awaitTermination()
+    maintain(index, stream(), str(tmp_path / "ck"), deleted="gone").awaitTermination()
+    found = sorted(r.key for r in IvfIndex.load(spark, str(tmp_path / "index")).entries().collect())
+    updated, twice = [10, 11, 12], list(range(13, 20))  # the others of 13 to 19 were there and come again without a deletion
+    assert failed and found == sorted([*range(3, 10), *updated, *twice, *twice, *range(20, 30)])
