@@ -30,6 +30,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "orthant-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
