@@ -501,6 +501,40 @@ def sql_operators(spark, sf_dir):
     return S.sql(spark, text, orthant_pairs=with_first(spark, sf_dir))
 
 
+def _sql_queries() -> None:
+    """The statements users write, over embeddings (orthant_pairs: with q beside each row)."""
+    difference = f"list_transform(list_zip(list_transform(list_zip(embedding, q), lambda x: CAST({_X} + {_Y} AS FLOAT)), list_transform(list_zip(embedding, q), lambda x: CAST({_X} * {_Y} AS FLOAT))), lambda x: CAST({_X} - {_Y} AS FLOAT))"
+    for name, text, duck, of in (
+        ("arithmetic", "SELECT vec_id, embedding + q - embedding * q AS v FROM orthant_pairs", _rows(difference), "vec_id"),
+        ("normalize", "SELECT vec_id, l2_normalize(embedding) AS v FROM orthant_pairs", ORACLES["vec_normalize"], "vec_id"),
+        ("subvector", "SELECT vec_id, subvector(embedding, 9, 16)::vector(16) AS v FROM orthant_pairs", ORACLES["vec_subvector"], "vec_id"),
+        ("cast_half", "SELECT vec_id, embedding::halfvec(64) AS v FROM orthant_pairs", ORACLES["cast_vector_to_halfvec"], "vec_id"),
+        ("avg", "SELECT label, avg(embedding) AS v FROM orthant_pairs GROUP BY label", ORACLES["agg_avg_group"], "label"),
+        ("sum", "SELECT label, sum(embedding) AS v FROM orthant_pairs GROUP BY label", ORACLES["agg_sum_group"], "label"),
+    ):
+
+        @query(f"sql_{name}", duck)
+        def listed(spark, sf_dir, text=text, of=of):
+            return exploded(S.sql(spark, text, orthant_pairs=with_first(spark, sf_dir)), "v", of)
+
+
+_sql_queries()
+
+
+@query("sql_functions", f"WITH {_Q} SELECT vec_id, sqrt({_NORM.format('embedding')}) AS norm, CAST(len(embedding) AS INTEGER) AS dims, {_HAM.replace('(b, q)', f'({_SIGNS}, ' + _SIGNS.replace('embedding', 'q') + ')')} AS apart, {_DUCK['l1']('embedding[1:8]', 'q[1:8]')} AS near FROM embeddings, q")
+def sql_functions(spark, sf_dir):
+    text = "SELECT vec_id, l2_norm(embedding) AS norm, vector_dims(embedding) AS dims, binary_quantize(embedding) <~> binary_quantize(q) AS apart, subvector(embedding, 1, 8) <+> subvector(q, 1, 8) AS near FROM orthant_pairs"
+    return S.sql(spark, text, orthant_pairs=with_first(spark, sf_dir))
+
+
+@query("sql_sparse", f"WITH h AS (SELECT vec_id, {_THIN} AS h FROM embeddings), q AS (SELECT h AS q FROM h WHERE vec_id = 0) SELECT vec_id, {_DUCK['l2']('h', 'q')} AS l2, {_DUCK['neg_ip']('h', 'q')} AS ip, {_cos('h', 'q')} AS cosine, {_DUCK['l1']('h', 'q')} AS l1, sqrt({_NORM.format('h')}) AS norm FROM h, q")
+def sql_sparse(spark, sf_dir):
+    """Distances of sparse vectors as SQL; both are cast from dense ones."""
+    both = with_first(spark, sf_dir).select("vec_id", thin("embedding").alias("h"), thin("q").alias("q"))
+    text = "SELECT vec_id, h::sparsevec <-> q::sparsevec AS l2, h::sparsevec <#> q::sparsevec AS ip, h::sparsevec <=> q::sparsevec AS cosine, h::sparsevec <+> q::sparsevec AS l1, l2_norm(h::sparsevec) AS norm FROM orthant_thin"
+    return S.sql(spark, text, orthant_thin=both)
+
+
 # Indexes; their folders lie in the session's shared folder
 
 

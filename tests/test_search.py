@@ -286,6 +286,35 @@ def test_searches(spark, uniform):
         knn.nearest(uniform, [1, 2], 1).collect()
 
 
+def test_sql_kinds(spark):
+    t = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0]), (3, None)], "id int, v array<float>")
+    s = t.select("id", E.vector_to_sparsevec("v").alias("s"))
+    run = lambda q: [tuple(r) for r in S.sql(spark, q, t=t, s=s).collect()]
+    assert run("SELECT '[1,2,3]'::vector + '[4,5,6]'") == [([5, 7, 9],)]
+    assert run("SELECT v + v * v, (v + v) * v, t.v - '[1,1,1]' FROM t ORDER BY id") == [([2, 6, 12], [2, 8, 18], [0, 1, 2]), ([20, 30, 42], [32, 50, 72], [3, 4, 5]), (None, None, None)]
+    assert run("SELECT id FROM t WHERE v <-> v + '[3,0,4]' = 5 AND id IN (1, 2) ORDER BY id") == [(1,), (2,)]
+    assert run("SELECT avg(v), sum(v), avg(id), sum(id * 2 + 1), count(*) FROM t") == [([2.5, 3.5, 4.5], [5, 7, 9], 2, 15, 3)]
+    assert run("SELECT id % 2 AS g, avg(v) <-> '[1,2,3]' FROM t WHERE id < 3 GROUP BY id % 2 ORDER BY g") == [(0, pytest.approx(27**0.5)), (1, 0)]
+    assert run("SELECT avg(v) FROM t WHERE v IS NULL") == [(None,)]
+    assert run("SELECT avg(subvector(v, 1, 2)::vector(2)), l2_norm(avg(l2_normalize(v))) FROM t WHERE id = 1") == [([1, 2], pytest.approx(1))]
+    assert run("SELECT subvector(v, 2, 2)::vector(2) <-> '[2,3]', binary_quantize(v) <~> '110', vector_dims(v) FROM t ORDER BY id") == [(0, 1, 3), (pytest.approx(18**0.5), 1, 3), (None, None, None)]
+    assert run("SELECT array(1, 2, 3)::vector(3) <-> '[1,2,4]', '5'::int, 3::int") == [(1, 5, 3)]
+    assert run("SELECT '[1,2]'::vector::halfvec, '[1,0]'::vector::sparsevec::vector") == [([1, 2], [1, 0])]
+    assert run("SELECT s <-> '{1:1,2:2}/3', s <#> s, s <=> s, s <+> '{2:1}/3', l1_distance(s, '{2:1}/3'), l2_norm(s::vector) FROM s WHERE id = 1") == [(3, -14, 0, 5, 5, pytest.approx(14**0.5))]
+    for wrong, text in (
+        ("SELECT v::halfvec(2) FROM t WHERE id = 1", "expected 2 dimensions, not 3"),
+        ("SELECT v + '[1,2]' FROM t WHERE id = 1", "different vector dimensions 3 and 2"),
+        ("SELECT '[1e38]'::vector * '[1e38]'", "value out of range: overflow"),
+        ("SELECT '[65520]'::vector::halfvec", "out of range for type halfvec"),
+        ("SELECT s <-> '{1:1}/2' FROM s WHERE id = 1", "different sparsevec dimensions 3 and 2"),
+        ("SELECT avg(subvector(v, 1, 2)) FROM t", "length isn't known"),
+        ("SELECT s::bit FROM s", "cannot cast type sparsevec to bit"),
+        ("SELECT (v FROM t", "not closed"),
+    ):
+        with pytest.raises(Exception, match=text):
+            run(wrong)
+
+
 def test_sql_operators(spark, golden):
     text = "SELECT vec_id, embedding <-> '[3,3,3]'::vector(3) AS d FROM orthant_t WHERE embedding IS NOT NULL AND 1 - (embedding <=> '[3,3,3]') > 0.5 -- <->\nORDER BY embedding <-> '[3,3,3]', vec_id LIMIT 2"
     assert [r.vec_id for r in S.sql(spark, text, orthant_t=golden).collect()] == [2, 5]
