@@ -106,10 +106,9 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
 def sort_directly(text: bytes, places: np.ndarray, depth: int, at: int = 0) -> np.ndarray:
     """Places whose suffixes agree on `at` bytes, in the order of their first `depth`.
 
-    Eight bytes at a time as numbers; what still agrees is sorted by its bytes where it is little enough to copy them.
+    Eight bytes as numbers first; what these leave equal is sorted by its bytes, some COPIED suffixes at a time, and by
+    its next eight where more than that agree.
     """
-    if len(places) <= COPIED and at:
-        return np.array(sorted(places.tolist(), key=lambda i: text[i + at : i + depth]), np.int64)
     if at >= depth or len(places) < 2:
         return places
     padded = np.frombuffer(text + b"\0" * (at + 8), np.uint8)
@@ -117,9 +116,14 @@ def sort_directly(text: bytes, places: np.ndarray, depth: int, at: int = 0) -> n
     order = np.argsort(keys, kind="stable")
     places, keys = places[order], keys[order]
     cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    equal = np.flatnonzero(np.diff(cuts) > 1)
-    for a, b in zip(cuts[equal].tolist(), cuts[equal + 1].tolist()):
-        places[a:b] = sort_directly(text, places[a:b], depth, at + 8)
+    sizes = np.diff(cuts)
+    for i in np.flatnonzero(sizes > COPIED).tolist():
+        places[cuts[i] : cuts[i + 1]] = sort_directly(text, places[cuts[i] : cuts[i + 1]], depth, at + 8)
+    few = (sizes > 1) & (sizes <= COPIED)
+    slots, ends = np.flatnonzero(np.repeat(few, sizes)), np.cumsum(sizes[few])
+    edges = np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(COPIED, len(slots), COPIED))], [len(slots)]]))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):  # whole groups, so each keeps its slots
+        places[slots[a:b]] = sorted(places[slots[a:b]].tolist(), key=lambda i: text[i + at : i + depth])
     return places
 
 
@@ -129,8 +133,9 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
     n = len(t)
     if not n:
         return np.empty(0, np.int64)
-    differ = np.flatnonzero(t[1:] != t[:-1])
-    nxt = np.searchsorted(differ, np.arange(n))  # where the run of equal bytes ends
+    unequal = t[1:] != t[:-1]
+    differ = np.flatnonzero(unequal)
+    nxt = np.concatenate([[0], np.cumsum(unequal)])  # where the run of equal bytes ends
     at = np.where(nxt < len(differ), differ[np.minimum(nxt, max(0, len(differ) - 1))] if len(differ) else 0, n - 1)
     small = np.zeros(n, bool)  # smaller than its successor
     within = at < n - 1
@@ -154,12 +159,10 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
                 induced[first[a]].append(before[a:b])
 
     for c in range(256):
-        done = 0
-        while done < len(induced[c]):  # runs of c add to their own bucket
-            induce(induced[c][done])
-            done += 1
-        result += induced[c]
-        induced[c] = []
+        while induced[c]:  # runs of c add to their own bucket
+            found, induced[c] = np.concatenate(induced[c]), []
+            induce(found)
+            result.append(found)
         own = direct[cuts[c] : cuts[c + 1]]
         if len(own):
             induce(own)
@@ -168,18 +171,18 @@ def two_stage_suffix_array(text: bytes, depth: int) -> np.ndarray:
 
 
 def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix with the next in order, in bytes, in steps of eight and up to most."""
-    padded = np.concatenate([buf, np.full(8, 255, np.uint8)])
-    eights = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
-    left, right, out = order[:-1], order[1:], np.zeros(max(0, len(order) - 1), np.int64)
-    live = np.arange(len(out))
-    steps = [*range(0, most - 7, 8), *([most - 8] if most % 8 and most >= 8 else [])]
-    for step in steps:
-        inside = (left[live] + step < len(eights)) & (right[live] + step < len(eights))
-        live = live[inside]
-        live = live[eights[left[live] + step] == eights[right[live] + step]]
-        out[live] = step + 8
-    return out
+    """Common prefix of each suffix with the next in order, in bytes, up to most."""
+    padded = np.concatenate([buf, np.zeros(most + 8, np.uint8)])
+    eights = np.ndarray((len(buf) + most + 1,), "<u8", padded.data, strides=(1,))
+    left, right, out = order[:-1], order[1:], np.full(max(0, len(order) - 1), most)
+    live, bytes_ = np.arange(len(out)), (np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)) - np.uint64(1)
+    for step in range(0, most, 8):
+        unequal = eights[left[live] + step] ^ eights[right[live] + step]
+        ended = unequal != 0
+        at = live[ended]
+        out[at] = step + sum((unequal[ended] & low) == 0 for low in bytes_)
+        live = live[~ended]
+    return np.minimum(out, np.minimum(most, len(buf) - np.maximum(left, right)))
 
 
 def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LENGTH, longer: int | None = None) -> list[list[np.ndarray]]:
@@ -189,12 +192,13 @@ def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LE
     sizes = np.array([len(c) for c in contexts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     order = two_stage_suffix_array(text, longer)
-    owner = np.searchsorted(begins, order, "right") - 1
+    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
+    owner = np.concatenate([owner, np.full(len(text) - len(owner), max(0, len(contexts) - 1))])[order]
     inside = order - begins[owner] < np.array(windows, np.int64)[owner]  # what reaches on starts in another context
     order, owner = order[inside], owner[inside]
-    buf, found = np.frombuffer(text, np.uint8), []
+    shared, found = common_prefixes(np.frombuffer(text, np.uint8), order, max(length, longer)), []
     for n in dict.fromkeys((length, longer)):
-        same = common_prefixes(buf, order, n) >= n
+        same = shared >= n
         marked = np.zeros(len(order), bool)
         marked[:-1] |= same
         marked[1:] |= same
