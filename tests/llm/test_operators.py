@@ -234,6 +234,20 @@ def test_suffix_array():
         assert suffix_dedup.two_stage_suffix_array(b, 100).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+@pytest.mark.parametrize("portion", [2, 5, 30_000])
+def test_suffix_array_in_portions(monkeypatch, portion):
+    monkeypatch.setattr(suffix_dedup, "COPIED", portion)
+    for seed in range(100):
+        r = random.Random(seed)
+        alphabet = r.choice([1, 2, 256])
+        b = bytes(r.randrange(alphabet) for _ in range(r.randint(1, 120))) * r.choice([1, 3])
+        order = suffix_dedup.two_stage_suffix_array(b, 1000)
+        assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        for most in (7, 8, 20):
+            common = [len(os.path.commonprefix([b[x : x + most], b[y : y + most]])) for x, y in zip(order.tolist(), order.tolist()[1:])]
+            assert suffix_dedup.common_prefixes(np.frombuffer(b, np.uint8), order, most).tolist() == common
+
+
 def brute_repeats(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
