@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from ._util import checkpoint, map_arrow
 
 #: Links that a task contracts at a time.
 PORTION = 1_000_000
+#: Links, contracted by the tasks that found them, that one task finishes; more go by rounds.
+SMALL = 50_000
 
 
 def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -62,19 +64,32 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield contract(held)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, kind: str = "", more: DataFrame | None = None) -> DataFrame:
     """links (a, b) of one orderable type -> node, component: the least node that it reaches, for every node of a link.
 
-    Tasks first contract what links they hold to stars around their least nodes. Alternating large-star and small-star
-    steps do the rest: every step replaces links by links to a least neighbour, and after a few (the logarithm of the
+    With run, `links` are rows from whose batches it makes the links, of Spark's type `kind` and without nulls; the same
+    Python worker contracts them, where two maps in a row would hold two workers a task. more: further links (a, b).
+
+    Tasks first contract what links they hold to stars around their least nodes. Up to SMALL links that are left go to
+    one task. For more, alternating large-star and small-star steps do the rest: every step replaces links by links to a least neighbour, and after a few (the logarithm of the
     largest diameter, about) all nodes of a component point at its least. Least neighbours are partial aggregates; a
     hub's links are split by the skew join. Every round is checkpointed, so a lost executor costs one round at most.
     Nulls and loops are ignored.
     """
-    kind = links.schema["a"].dataType.simpleString()
-    straight = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    edges = checkpoint(map_arrow(straight, _stars, f"u {kind}, v {kind}").distinct())
-    while True:
+    kind = kind or links.schema["a"].dataType.simpleString()
+    schema = f"u {kind}, v {kind}"
+    straight = lambda df: df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if run is None:
+        edges = map_arrow(straight(links), _stars, schema)
+    else:
+        edges = map_arrow(links, lambda it: _stars(pa.RecordBatch.from_arrays(batch.columns, ["u", "v"]) for batch in run(it)), schema)
+    if more is not None:
+        edges = edges.unionByName(straight(more))
+    edges = checkpoint(edges.distinct())
+    small = edges.count() <= SMALL
+    if small:
+        edges = checkpoint(map_arrow(edges.repartition(1), _stars, schema))
+    while not small:
         one, zero = F.lit(1), F.lit(0)
         roles = edges.select(F.col("u").alias("x"), one.alias("up"), zero.alias("down")).unionByName(edges.select(F.col("v").alias("x"), zero.alias("up"), one.alias("down")))
         if roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
@@ -82,6 +97,6 @@ def components(links: DataFrame) -> DataFrame:
         above = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         large = edges.join(above, edges["v"] == above["x"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.distinct())
+        nearer = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = checkpoint(nearer.distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

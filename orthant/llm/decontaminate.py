@@ -23,11 +23,12 @@ decontaminate none.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,8 +194,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, n_hit (words in windows), hit_items (sorted ids) and hit_spans (word spans, both ends in)."""
+def _finder(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int, block_bytes: int) -> tuple[list, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """The columns of docs that stay, and what adds the columns _RESULT to their batches."""
     blocks = [share(docs.sparkSession, automaton) for automaton in automata(benchmark, item_id, item_text, window, block_bytes)]
     kept = [f for f in docs.schema if f.name not in _RESULT]
 
@@ -219,6 +220,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *results], [*(f.name for f in kept), *_RESULT])
 
+    return kept, run
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with n_words, n_hit (words in windows), hit_items (sorted ids) and hit_spans (word spans, both ends in)."""
+    kept, run = _finder(docs, benchmark, text, item_id, item_text, window, block_bytes)
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in _RESULT.items())])
     return map_arrow(docs.select(*(F.col(f"`{f.name}`") for f in kept)), run, schema)
 
@@ -253,34 +260,38 @@ def _find(automaton: Automaton, texts: list[list[bytes]], spans: list[list[tuple
             found[doc] |= items
 
 
+def _cut(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches, text):
+        out = []
+        for body, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("hit_spans").to_pylist()):
+            if body and spans:
+                places = [m.span() for m in _WORD.finditer(body)]
+                parts, at = [], 0
+                for s in spans:
+                    parts.append(body[at : places[s["first"]][0]])
+                    at = places[s["last"]][1]
+                body = b"".join([*parts, body[at:]])
+            out.append(body)
+        at = batch.schema.get_field_index(text)
+        yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type))
+
+
 def cut_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """df without the words of its hit_spans and what stands between them."""
-    kept = list(df.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, text):
-            out = []
-            for body, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("hit_spans").to_pylist()):
-                if body and spans:
-                    places = [m.span() for m in _WORD.finditer(body)]
-                    parts, at = [], 0
-                    for s in spans:
-                        parts.append(body[at : places[s["first"]][0]])
-                        at = places[s["last"]][1]
-                    body = b"".join([*parts, body[at:]])
-                out.append(body)
-            at = [f.name for f in kept].index(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, pa.binary()).cast(batch.schema.field(at).type))
-
-    return map_arrow(df, run, df.schema)
+    return map_arrow(df, lambda it: _cut(it, text), df.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_covered: float = 0.5) -> DataFrame:
     """docs without hit spans; a document of which more than most_covered is hit goes. Columns as in docs."""
     rows = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("_row"))
-    hits = find_hits(rows, benchmark, "_text", window=window)
-    left = hits.where((F.col("n_hit") == 0) | (F.col("n_hit") <= most_covered * F.col("n_words")))
-    return cut_spans(left, "_text").select(*((F.col("_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))
+    kept, find = _finder(rows, benchmark, "_text", "item_id", "text", window, BLOCK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # one map: a second would hold a second Python worker a task
+        left = (b.filter(pc.less_equal(b.column("n_hit").cast(pa.float64()), pc.multiply(b.column("n_words").cast(pa.float64()), max(0.0, most_covered)))) for b in find(batches))
+        for batch in _cut(left, "_text"):
+            yield batch.select([f.name for f in kept])
+
+    return map_arrow(rows, run, T.StructType(kept)).select(*((F.col("_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

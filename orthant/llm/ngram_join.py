@@ -417,13 +417,13 @@ def _link_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
-def _loose_links(rows: DataFrame, n: int, buckets: int, num: int, den: int) -> DataFrame:
-    """Links (a, b), by short ids, that connect all sets that link with each other and few more."""
+def _loose_groups(rows: DataFrame, n: int, buckets: int, num: int, den: int) -> DataFrame:
+    """Components (node, component), by short ids, of links that connect all sets that link with each other and few more."""
     salted = lambda df: df.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("names", "sets")).otherwise(F.lit(0))).repartition(max(buckets, 2), "bucket", "salt").sortWithinPartitions("bucket").drop("salt")
     sent = map_arrow(rows.select("_text"), lambda it: _pack_prefixes(it, n, buckets, num, den), _PACKED)
     told = map_arrow(salted(sent), lambda it: _count_holders(it, buckets), _PACKED)
     chosen = map_arrow(salted(told), lambda it: _choose_elements(it, buckets, num, den), _PACKED)
-    return map_arrow(salted(chosen), _link_holders, "a bigint, b bigint")
+    return components(salted(chosen), _link_holders, "bigint")
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -527,8 +527,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     described = checkpoint(map_arrow(rows, lambda it: _describe(it, n), f"_k {kind}, _x bigint, n bigint, set binary"))
     total = described.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(min(1.0, 2.5 * (den - num) / den) * total) // BUCKET))
-    loose = components(_loose_links(rows, n, buckets, num, den))
-    loose = loose.select(F.col("node").alias("short"), F.col("component").alias("group"))
+    loose = _loose_groups(rows, n, buckets, num, den).select(F.col("node").alias("short"), F.col("component").alias("group"))
     classes = described.where("n > 0").groupBy("set").agg(F.min(F.struct("_k", "_x")).alias("one"), F.min("n").alias("n"), F.min("_k").alias("least"))
     short = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint")
     members = checkpoint(classes.withColumn("short", short).join(loose, "short").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x")))
@@ -546,9 +545,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     wanted = tasks.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", "tasks")).alias("tasks"))
     dealt = rows.join(wanted, _same_row(rows, wanted)).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
-    links = map_arrow(dealt, lambda it: _join_groups(it, n, num, den), _LINKS)
-    links = links if hub_links is None else links.unionByName(hub_links)
-    joined = components(links).select(F.col("node").alias("set"), "component")
+    joined = components(dealt, lambda it: _join_groups(it, n, num, den), "binary", hub_links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = joined.join(least, "component").select("set", "component_id").unionByName(classes.join(joined, "set", "left_anti").select("set", F.col("least").alias("component_id")))
     full = described.where("n > 0").join(checkpoint(labelled), "set").select("_k", "n", "component_id")
