@@ -22,8 +22,8 @@ Scale: elements travel packed, 8 bytes each, in blobs dealt over as many buckets
 that over HOLDERS sets of a chunk hold, one travels for all, so a hot one costs an entry a chunk. In a loose group of
 over BLOCK elements every member is first held against HUBS members; what these join (nearly all of a group of near
 copies) needs no tests within, and the rest meets itself and the joined part block by block, each pair of blocks a
-task of bounded memory. Text travels once for the sets with candidates; their keys are broadcast up to KEYS rows and
-joined by a shuffle beyond. Classes are told apart by 128-bit hashes of sets of 64-bit hashes.
+task of bounded memory. Text of the sets with candidates travels once, to its group's tasks (once for each task of a
+large group); what is joined with it is broadcast up to KEYS rows and beyond takes a shuffle of the texts. Classes are told apart by 128-bit hashes of sets of 64-bit hashes.
 
 Edge cases: null and empty texts have an empty set, no links, and are their own component; repeated rows are a
 class; documents that share an id are told apart by their sets; extra columns are left out.
@@ -288,14 +288,14 @@ def _by_bucket(bucket: np.ndarray, buckets: int, names: np.ndarray, owners: np.n
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
     for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         used, short = np.unique(owners[at:end], return_inverse=True)
-        yield int(bucket[at]), names[at:end].astype("<u8").tobytes(), short.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), ids[used].astype("<i8").tobytes(), sizes[used].astype("<i4").tobytes()
+        yield int(bucket[at]), names[at:end].astype("<u8").tobytes(), short.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), ids[used].astype("<i8").tobytes(), sizes[used].astype("<u2" if sizes[used].max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
 def _unpacked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """names, set ids and set sizes of rows of _PACKED."""
     names = np.concatenate([np.frombuffer(r[0], "<u8") for r in held])
     owners = [np.frombuffer(r[1], "<u2" if 4 * len(r[1]) == len(r[0]) else "<u4") for r in held]
-    return names, np.concatenate([np.frombuffer(r[2], "<i8")[o] for r, o in zip(held, owners)]), np.concatenate([np.frombuffer(r[3], "<i4")[o] for r, o in zip(held, owners)]).astype(np.int64)
+    return names, np.concatenate([np.frombuffer(r[2], "<i8")[o] for r, o in zip(held, owners)]), np.concatenate([np.frombuffer(r[3], "<u2" if 4 * len(r[3]) == len(r[2]) else "<u4")[o] for r, o in zip(held, owners)]).astype(np.int64)
 
 
 def _bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -460,6 +460,11 @@ def _join_groups(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int)
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
+def _sent(df: DataFrame, count: int) -> DataFrame:
+    """df for a join with texts, which then stay where they are if df has KEYS rows at most."""
+    return F.broadcast(df) if count <= KEYS else df
+
+
 def _same_row(a: DataFrame, b: DataFrame):
     return a["_k"].eqNullSafe(b["_k"]) & (a["_x"] == b["_x"])
 
@@ -486,17 +491,16 @@ def _probe_hubs(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -
 
 def _hub_links(rows: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links of the members of large groups to HUBS members of each, picked by hashes: a row a member and hub at most."""
-    picks = [F.min(F.struct(F.xxhash64("set", F.lit(i)).alias("h"), "set", "_k", "_x")).alias(f"h{i}") for i in range(HUBS)]
-    hubs = large.groupBy("group").agg(*picks).select("group", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("h")).select("group", F.col("h.set").alias("hub"), "h._k", "h._x").distinct()
-    texts = rows.join(hubs, _same_row(rows, hubs)).groupBy("group", "hub").agg(F.first("_text").alias("text")).groupBy("group").agg(F.collect_list(F.struct("hub", "text")).alias("hubs"))
+    picks = [F.min(F.struct(F.xxhash64("set", F.lit(i)).alias("h"), "set")).alias(f"h{i}") for i in range(HUBS)]
+    hubs = checkpoint(large.groupBy("group").agg(*picks).select(F.explode(F.array(*(F.col(f"h{i}.set") for i in range(HUBS)))).alias("set")).distinct())
+    texts = rows.join(_sent(hubs, hubs.count()), "set").groupBy("group", "set").agg(F.first("_text").alias("text")).groupBy("group").agg(F.collect_list(F.struct(F.col("set").alias("hub"), "text")).alias("hubs"))
     texts = checkpoint(texts)
     size = texts.agg(F.sum(F.aggregate("hubs", F.lit(0).cast("long"), lambda t, h: t + F.octet_length(h["text"])))).first()[0] or 0
-    placed = rows.join(large, _same_row(rows, large)).select("group", "set", "_text")
-    return map_arrow(placed.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n, num, den), _LINKS)
+    return map_arrow(rows.join(F.broadcast(texts) if size <= HUB_BYTES else texts, "group").select("set", "_text", "hubs"), lambda it: _probe_hubs(it, n, num, den), _LINKS)
 
 
 def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
-    """set, group, _k, _x and the tasks (one, other, side) of the members of large groups.
+    """set and the tasks (one, other, side) of the members of large groups.
 
     What hubs have joined into a group's largest part needs no tests within; the rest is tested against itself and
     against that part, block by block. So a group of near copies costs about as many tasks as it has blocks.
@@ -515,7 +519,7 @@ def _block_tasks(large: DataFrame, joined: DataFrame, block: int) -> DataFrame:
     across = F.transform(upto(F.col("inner")), lambda c: task(mine, F.col("outer") + c, F.lit(0)))
     back = F.transform(upto(F.col("outer")), lambda i: task(i, F.col("outer") + mine, F.lit(1)))
     placed = placed.withColumn("_own", F.when(F.col("_main"), own(F.col("inner"))).otherwise(own(F.col("outer"))))
-    return placed.select("set", "group", "_k", "_x", F.when(F.col("_main"), back).otherwise(F.concat(inside, across)).alias("tasks")).where(F.size("tasks") > 0)
+    return placed.select("set", F.when(F.col("_main"), back).otherwise(F.concat(inside, across)).alias("tasks")).where(F.size("tasks") > 0)
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, block: int = BLOCK, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -532,18 +536,20 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     short = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("bigint")
     members = checkpoint(classes.withColumn("short", short).join(loose, "short").select("set", "group", "n", F.col("one._k").alias("_k"), F.col("one._x").alias("_x")))
     sizes = members.groupBy("group").agg((F.floor(F.sum("n") / F.lit(block)) + 1).cast("int").alias("blocks"))
-    wanted = members.select("_k", "_x").distinct()
-    wanted = F.broadcast(wanted) if members.count() <= KEYS else wanted
-    rows = checkpoint(rows.join(wanted, _same_row(rows, wanted), "left_semi"))
+    count = members.count()
     members = members.join(sizes, "group")
-    tasks = members.where("blocks = 1").select("set", "group", "_k", "_x", F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("other"), F.lit(0).alias("side"))).alias("tasks"))
+    wanted = _sent(members.select("set", "group", "blocks", "_k", "_x"), count)
+    rows = checkpoint(rows.join(wanted, _same_row(rows, wanted)).select("set", "group", "blocks", "_text"))  # texts know their sets, so they need no join by key again
+    zero = F.lit(0)
+    dealt = rows.where("blocks = 1").select("group", zero.alias("one"), zero.alias("other"), zero.alias("side"), "set", "_text")
     hub_links = None
     large = members.where("blocks > 1")
     if not large.isEmpty():
+        rows = rows.where("blocks > 1")
         hub_links = checkpoint(_hub_links(rows, large, n, num, den))
-        tasks = tasks.unionByName(_block_tasks(large, components(hub_links), block))
-    wanted = tasks.groupBy("_k", "_x").agg(F.collect_list(F.struct("group", "set", "tasks")).alias("tasks"))
-    dealt = rows.join(wanted, _same_row(rows, wanted)).select("_text", F.explode("tasks").alias("t")).select("_text", "t.group", "t.set", F.explode("t.tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text")
+        tasks = checkpoint(_block_tasks(large, components(hub_links), block))
+        tasks = _sent(tasks, tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0)
+        dealt = dealt.unionByName(rows.join(tasks, "set").select("group", "set", "_text", F.explode("tasks").alias("u")).select("group", "u.one", "u.other", "u.side", "set", "_text"))
     dealt = dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "set", "side")
     joined = components(dealt, lambda it: _join_groups(it, n, num, den), "binary", hub_links).select(F.col("node").alias("set"), "component")
     least = classes.join(joined, "set").groupBy("component").agg(F.min("least").alias("component_id"))
