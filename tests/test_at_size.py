@@ -8,10 +8,10 @@ import pytest
 from orthant.plans.catalog import ORACLES, QUERIES
 
 
-# cast_decimal_to_vector
+# cast_decimal_to_vector, cast_int_to_vector
 
 
-@pytest.mark.parametrize("name", ["cast_decimal_to_vector"])
+@pytest.mark.parametrize("name", ["cast_decimal_to_vector", "cast_int_to_vector"])
 def test_casts_multiply_in_single_precision(spark, tmp_path, name):
     import duckdb
 
