@@ -1,13 +1,31 @@
 """What only larger tables showed."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from orthant.functions import expr as E
+from orthant.operators import hnsw, ivf, knn, metrics
 from orthant.plans.catalog import ORACLES, QUERIES
 
 
+def random_rows(spark, n, seed=0):
+    values = np.random.default_rng(seed).normal(size=(n, 64)).astype(np.float32)
+    return spark.createDataFrame(pa.table({"vec_id": range(n), "embedding": pa.array(values.tolist(), pa.list_(pa.float32()))}))
+
+
+def bits_of(df):
+    return df.select("vec_id", E.binary_quantize("embedding").alias("embedding"))
+
+
+def found(rows):
+    return sorted((r.query_id, r.rank, r.vec_id) for r in rows.collect())
+
+
 # cast_decimal_to_vector, cast_int_to_vector
 
 
@@ -23,3 +41,45 @@ def test_casts_multiply_in_single_precision(spark, tmp_path, name):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
     own = QUERIES[name](spark, str(tmp_path)).select("vec_id", "pos", "val").collect()
     assert sorted(map(tuple, own)) == sorted(con.execute(ORACLES[name]).fetchall())
+
+
+# knn_join_*, half_knn_join, ivf_half_full_probe, ivf_bit_full_probe, recall
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1", "ivf l2", "ivf hamming"])
+def test_distances_come_in_blocks(spark, monkeypatch, metric):
+    """No matrix of distances grows with the queries, and the rows are the same."""
+    metric, indexed = metric.split()[-1], metric.startswith("ivf")
+    plain, most = metrics.METRICS[metric], 1 << 20
+
+    def near(q, x):
+        made = plain.near(q, x)
+        assert made.size <= most, f"{made.shape} distances at once"
+        return made
+
+    df = random_rows(spark, 2500)
+    df = bits_of(df) if metric == "hamming" else df
+    asked = df.where("vec_id % 4 <> 0")
+    expected = found(knn.knn_join(asked.where("vec_id % 50 = 1"), df.repartition(7), 5, metric=metric))
+    for module in (knn, ivf):
+        monkeypatch.setattr(module, "metric_of", lambda name, kind: replace(plain, near=near))
+    own = ivf.IvfIndex.build(df.coalesce(1), metric=metric, lists=2).search(asked, 5, probes=2) if indexed else knn.knn_join(asked, df.coalesce(1), 5, metric=metric)
+    assert [x for x in found(own) if x[0] % 50 == 1] == expected and len(expected) == 250
+
+
+def test_rows_without_a_distance_give_way(spark):
+    rows = [(i, [0.0, 0.0]) for i in range(3000)] + [(3000, [1.0, 0.5]), (3001, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    assert [x[2] for x in found(knn.knn_join(df.where("vec_id = 3001"), df, 3, metric="cosine"))] == [3001, 3000, 0]
+
+
+def test_kernels_of_bits():
+    r = np.random.default_rng(1)
+    q, x = (metrics.BitBatch(np.full(n, 130), r.integers(0, 2**63, (n, 3)).astype(np.uint64) << np.uint64(1)) for n in (5, 9))
+    ones = lambda words: bin(int(words[0]) | int(words[1]) << 64 | int(words[2]) << 128).count("1")
+    apart = [[ones(a ^ b) for b in x.words] for a in q.words]
+    both = [[ones(a & b) / ones(a | b) for b in x.words] for a in q.words]
+    hamming, jaccard = metrics.METRICS["hamming"], metrics.METRICS["jaccard"]
+    assert hamming.near(q, x).tolist() == apart and np.allclose(jaccard.near(q, x), 1 - np.array(both))
+    i, j = np.arange(5), np.arange(5) + 3
+    assert (hamming.exact(q.take(i), x.take(j)) == hamming.near(q, x)[i, j]).all() and (jaccard.exact(q.take(i), x.take(j)) == jaccard.near(q, x)[i, j]).all()
