@@ -85,6 +85,22 @@ def test_kernels_of_bits():
     assert (hamming.exact(q.take(i), x.take(j)) == hamming.near(q, x)[i, j]).all() and (jaccard.exact(q.take(i), x.take(j)) == jaccard.near(q, x)[i, j]).all()
 
 
+def test_pairs_of_bits_are_scored_together():
+    """ivf_bit_full_probe: every pair once was two batches of its own, and ties make many pairs."""
+    class Counted(metrics.BitBatch):
+        taken = 0
+
+        def take(self, which):
+            Counted.taken += 1
+            return super().take(which)
+
+    words = np.arange(500, dtype=np.uint64)[:, None] << np.uint64(32)
+    batch = Counted(np.full(500, 64), words)
+    for metric in ("hamming", "jaccard"):
+        metrics.METRICS[metric].exact(batch, batch)
+    assert Counted.taken < 10
+
+
 # hnsw_full, hnsw_bits, hnsw_sparse, hnsw_search, hnsw_half, hnsw_iterative
 
 
